@@ -102,9 +102,19 @@ def _segment(part: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", part.translate(plain)).translate(plain))
 
 
+def _stable(text: str) -> bool:
+    """The quick check: below U+0100 only the non-breaking space and the soft hyphen are unstable."""
+    if text.isascii():
+        return True
+    try:
+        return b"\xa0" not in (x := text.encode("latin-1")) and b"\xad" not in x
+    except UnicodeEncodeError:
+        return False
+
+
 def look(text: str) -> str:
     """The plain form of `text`: equal for texts that look the same."""
-    if text.isascii():
+    if _stable(text):
         return text
     out, done = [], 0
     for m in _tables()[1].finditer(text):
@@ -123,7 +133,7 @@ def look(text: str) -> str:
 
 def canonical(text: str) -> str:
     """The plain form with Cyrillic words written in Cyrillic."""
-    if text.isascii():
+    if _stable(text):
         return text
     _, _, back, own = _tables()
     out = look(text)
