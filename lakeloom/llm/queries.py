@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import normalize
+from lakeloom.llm import leakage, normalize, split
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,53 @@ def p6_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize_fields(rows, ["heading", "content"]).select("sec_id", "section_index", "scraped_at", "heading_norm", "content_norm")
 
 
-QUERIES = {"p6_found": p6_found, "p6_normalized": p6_normalized}
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    return split.split_oversized(_sections(spark, sf_dir), _read(spark, sf_dir, "hqe_config"), with_text=with_text)
 
-ORACLES: dict[str, str] = {}
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, False).filter("n_pieces > 1").select("sec_id", "prompt_version").distinct()
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, True)
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_report(_leaks(spark, sf_dir))
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return leakage.without_leaks(docs, _leaks(spark, sf_dir)).select("doc_id", "source", "text")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p6_found": p6_found,
+    "p6_normalized": p6_normalized,
+    "p8_found": p8_found,
+    "p8_matches": p8_matches,
+    "p8_report": p8_report,
+    "p8_clean": p8_clean,
+}
+
+ORACLES = {
+    "p1_found": """
+select distinct sec_id, prompt_version from section_lookup join hqe_config
+on section_index >= 0 and max_chars > 0 and length(content) > max_chars
+""",
+}
