@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import leakage, normalize, split
+from lakeloom.llm import langid, leakage, normalize, split
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,11 +57,33 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(docs, _leaks(spark, sf_dir)).select("doc_id", "source", "text")
 
 
+def _record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = langid.fit(_read(spark, sf_dir, "documents"))
+    return langid.record_lines(_read(spark, sf_dir, "hqe_records"), _read(spark, sf_dir, "section_lookup"), filters)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = _record_lines(spark, sf_dir).filter("line_lang is not null and (label is null or label <> line_lang)")
+    return other.selectExpr("doc_id", "section_index", "line_no", "line_lang as lang").distinct()
+
+
+def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _record_lines(spark, sf_dir)
+
+
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.document_languages(docs, langid.fit(docs))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p6_found": p6_found,
     "p6_normalized": p6_normalized,
+    "p7_found": p7_found,
+    "p7_lines": p7_lines,
+    "p7_documents": p7_documents,
     "p8_found": p8_found,
     "p8_matches": p8_matches,
     "p8_report": p8_report,
