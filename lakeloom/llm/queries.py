@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import langid, leakage, normalize, split
+from lakeloom.llm import boilerplate, langid, leakage, normalize, split
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,18 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "section_lookup").filter("section_index >= 0")
 
 
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.repeated_lines(_sections(spark, sf_dir).select("sec_id", "doc_id", "site", "content"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated(spark, sf_dir).filter("line_docs >= 5").select("sec_id", "line_no").distinct()
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.without_repeated(_sections(spark, sf_dir), _repeated(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.look_alike_pairs(_sections(spark, sf_dir).filter("content is not null"), "sec_id", ["heading", "content"])
 
@@ -79,6 +91,8 @@ def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_normalized": p6_normalized,
     "p7_found": p7_found,
@@ -91,6 +105,15 @@ QUERIES = {
 }
 
 ORACLES = {
+    "p5_found": r"""
+with lines as (
+  select site, doc_id, sec_id, i - 1 as line_no,
+         regexp_replace(lower(trim(regexp_replace(parts[i], '[\s\x{1C}-\x{1F}\x{85}\p{Z}]+', ' ', 'g'))), '\p{Nd}+', '0', 'g') as same
+  from (select *, string_split(content, chr(10)) as parts from section_lookup where section_index >= 0 and content is not null),
+       unnest(range(1, len(parts) + 1)) as t(i)),
+repeated as (select site, same from lines where same <> '' group by site, same having count(distinct doc_id) >= 5)
+select distinct sec_id, cast(line_no as integer) as line_no from lines l join repeated r on l.same = r.same and l.site is not distinct from r.site
+""",
     "p1_found": """
 select distinct sec_id, prompt_version from section_lookup join hqe_config
 on section_index >= 0 and max_chars > 0 and length(content) > max_chars
