@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import boilerplate, langid, leakage, normalize, split
+from lakeloom.llm import boilerplate, langid, leakage, neighbors, normalize, split
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,14 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "section_lookup").filter("section_index >= 0")
 
 
+def p2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.nearest(_read(spark, sf_dir, "question_vectors"), "row_idx", "embedding")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.close_pairs(p2_neighbors(spark, sf_dir))
+
+
 def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.repeated_lines(_sections(spark, sf_dir).select("sec_id", "doc_id", "site", "content"))
 
@@ -91,6 +99,8 @@ def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_neighbors": p2_neighbors,
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p6_found": p6_found,
