@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import boilerplate, langid, leakage, neighbors, normalize, split
+from lakeloom.llm import boilerplate, content, langid, leakage, neighbors, normalize, split
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,6 +96,23 @@ def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.document_languages(docs, langid.fit(docs))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return content.score(docs, content.fit(docs, _read(spark, sf_dir, "content_labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.flagged(_scored(spark, sf_dir)).distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.rates(_read(spark, sf_dir, "documents"), _scored(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -112,6 +129,9 @@ QUERIES = {
     "p8_matches": p8_matches,
     "p8_report": p8_report,
     "p8_clean": p8_clean,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 ORACLES = {
