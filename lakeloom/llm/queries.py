@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import boilerplate, content, langid, leakage, neighbors, normalize, split
+from lakeloom.llm import boilerplate, content, langid, leakage, mixing, neighbors, normalize, split
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,6 +96,22 @@ def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.document_languages(docs, langid.fit(docs))
 
 
+def _mixture(spark: SparkSession, sf_dir: str, **options: bool) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "source_targets"), **options)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
+def p9_exact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir, exact_shares=True)[1]
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return content.score(docs, content.fit(docs, _read(spark, sf_dir, "content_labels")))
@@ -129,6 +145,9 @@ QUERIES = {
     "p8_matches": p8_matches,
     "p8_report": p8_report,
     "p8_clean": p8_clean,
+    "p9_mixture": p9_mixture,
+    "p9_report": p9_report,
+    "p9_exact_report": p9_exact_report,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
