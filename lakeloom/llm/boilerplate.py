@@ -1,13 +1,14 @@
 """Lines that recur in many documents of one site, nearly the same lines included.
 
-Lines are masked (numbers, dates and names) and hashed by MinHash over five-word shingles of the masked text. Lines of a site
-that share a band are compared exactly (Jaccard of shingles of 0.8 or more); connected lines form a cluster; a cluster seen in
-at least `min_docs` documents of its site is boilerplate.
+Lines are masked (numbers, dates and names) and hashed by MinHash over five-word shingles of the masked text. Lines with the
+same shingles form a class. Classes of a site that share a band are compared exactly (Jaccard of shingles of 0.8 or more);
+connected classes form a cluster; a cluster seen in at least `min_docs` documents of its site is boilerplate.
 
-A line's identity (`nkey`) is its trimmed, space-collapsed, lower-case text with runs of digits as 0, within its site. Identical
-lines are merged before anything is compared, so a line that a third of all documents carry is one row. A bucket of at most
-`PAIRS_UP_TO` lines is compared pair by pair; in a larger one all lines are compared with a leader, what is unlike it goes on
-to the next round, until every bucket is small or used up: no bucket is cut off.
+A line's identity (`nkey`) is its trimmed, space-collapsed, lower-case text with runs of digits as 0, within its site; spellings
+of one identity that mask differently are connected too. A line that a third of all documents carry is one class and is sent
+on once from each Arrow batch. A bucket of at most `PAIRS_UP_TO` classes is compared pair by pair; in a larger one all are
+compared with a leader, what is unlike it goes on to the next round, until every bucket is small or used up: no
+bucket is cut off.
 
 Defined results: null contents and blank lines are never boilerplate; a null site is a site of its own; rows without doc_id
 count as one document; repeated rows count once; lines of fewer than five words are one shingle. Extra columns are not read.
@@ -17,17 +18,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.langid import Words, _mix
 from lakeloom.operators.graph import connected_components
 from lakeloom.session import MAX_BROADCAST_ROWS, materialize
 
-BANDS, ROWS, SHINGLE, SIMILAR, PAIRS_UP_TO = 8, 5, 5, 0.8, 32
+BANDS, ROWS, SHINGLE, SIMILAR, PAIRS_UP_TO = 12, 8, 5, 0.8, 64
 # Months of the languages at hand.
 MONTHS = frozenset(
     "januar februar marts april maj juni juli august september oktober november december january february march may june july october "
@@ -35,12 +37,16 @@ MONTHS = frozenset(
 )
 # End of fixed values.
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
-_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]+"
+_DIGITS = re.compile(r"\d+")
 
 
-def same_line(line: Column) -> Column:
-    """The form in which lines are the same."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, _SPACE, " "))), r"\p{Nd}+", "0")
+def same_line(line: str) -> str:
+    """The form in which lines are the same; '' for a blank one."""
+    return _DIGITS.sub("0", " ".join(line.split()).lower())
+
+
+def _number(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def masked(line: str) -> list[str]:
@@ -103,43 +109,64 @@ def band_keys(sh: np.ndarray, start: np.ndarray, site: np.ndarray) -> list[np.nd
     return keys
 
 
+LINE = "sec_id bigint, line_no int, doc bigint, nkey bigint, class bigint, buckets array<bigint>, shingles array<int>"
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sec_id, doc, site, content: the lines. Only the first line of a class in a batch has buckets and shingles."""
     words = Words()
+    known: dict[str, int] = {}
     for batch in batches:
-        for at in range(0, batch.num_rows, 4000):
-            part = batch.slice(at, 4000)
-            sh, start = shingles(part.column(3).to_pylist(), words)
-            site = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            keys = [pa.array(k.view(np.int64)) for k in band_keys(sh, start, site)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *keys], names=["nkey", "doc", *(f"b{i}" for i in range(BANDS))])
-
-
-def _lines(df: DataFrame) -> DataFrame:
-    """sec_id, line_no, site, doc, nkey, line of lines that aren't blank."""
-    rows = df.filter("content is not null").select("sec_id", F.xxhash64("doc_id").alias("doc"), F.xxhash64(F.lit(1), "site").alias("site"), F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    same = same_line(F.col("line"))
-    return rows.withColumn("same", same).filter("same <> ''").withColumn("nkey", F.xxhash64("site", "same"))
-
-
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose lines' shingles overlap enough. `texts` has nkey and line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            sides = []
-            for c in (2, 3):
-                sh, start = shingles(b.column(c).to_pylist(), words)
-                sides.append(np.split(sh, start[1:]))
-            keep = []
-            for x, y in zip(*sides, strict=True):
-                x, y = set(x.tolist()), set(y.tolist())
-                both = len(x & y)
-                keep.append(both >= SIMILAR * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = (texts.select(F.col("nkey").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, "a bigint, b bigint")
+        sent: set[int] = set()
+        for at in range(0, batch.num_rows, 300):
+            part = batch.slice(at, 300)
+            rows, no, lines, keys, sites = [], [], [], [], []
+            for r, (site, text) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                name = "" if site is None else f"{site}\n"
+                for i, line in enumerate(text.split("\n")):
+                    if same := same_line(line):
+                        rows.append(r)
+                        no.append(i)
+                        lines.append(line)
+                        keys.append(_number(name + same))
+                        if name not in known:
+                            known[name] = _number(name)
+                        sites.append(known[name])
+            if not lines:
+                continue
+            sh, start = shingles(lines, words)
+            ends = np.append(start[1:], len(sh))
+            small = (sh >> np.uint64(33)).astype(np.int32)
+            classes, fresh, sets = np.empty(len(lines), np.int64), [], []
+            for i, (a, b, site) in enumerate(zip(start.tolist(), ends.tolist(), sites, strict=True)):
+                u = np.unique(sh[a:b])
+                c = classes[i] = int.from_bytes(blake2b(u.tobytes(), digest_size=8, salt=site.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+                if c not in sent:
+                    sent.add(int(c))
+                    fresh.append(i)
+                    sets.append(np.unique(small[a:b]))
+            buckets: list = [None] * len(lines)
+            parts: list = [None] * len(lines)
+            if fresh:
+                at_ = np.concatenate([np.arange(start[i], ends[i]) for i in fresh])
+                n = ends[fresh] - start[fresh]
+                bands = band_keys(sh[at_], np.concatenate([[0], np.cumsum(n)[:-1]]), np.array(sites, np.int64)[fresh].view(np.uint64))
+                for i, row, u in zip(fresh, np.stack(bands, 1).view(np.int64), sets, strict=True):
+                    buckets[i], parts[i] = row, u
+            kept = part.select([0, 1]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column(0), pa.array(no, pa.int32()), kept.column(1), pa.array(keys, pa.int64()), pa.array(classes), pa.array(buckets, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+                names=[x.split()[0] for x in LINE.split(", ")],
+            )
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of classes whose shingles overlap enough. `sets` has class and shingles."""
+    left, right = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    # sizes bound the overlap, so most unlike pairs end before their shingles are compared
+    near = F.least(F.size("of_a"), F.size("of_b")) >= SIMILAR * F.greatest(F.size("of_a"), F.size("of_b"))
+    return pairs.join(left, "a").join(right, "b").filter(near).filter(both >= SIMILAR * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
 def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
@@ -147,35 +174,34 @@ def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
 
     `sections` has sec_id, doc_id, site, content. `line_docs` counts the documents of the site with this very line.
     """
-    lines = _lines(sections)
-    slim = materialize(lines.select("sec_id", "line_no", "doc", "nkey"), "lines")
-    signed = lines.select("nkey", "doc", "site", "line").mapInArrow(_signatures, ", ".join(["nkey bigint", "doc bigint", *(f"b{i} bigint" for i in range(BANDS))]))
-    keys = signed.groupBy("nkey").agg(*(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
-    members = keys.select("nkey", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("bucket"))
-    w = Window.partitionBy("bucket")  # distinct lines only: one exchange serves the count and the leader
-    members = members.withColumns({"leader": F.min("nkey").over(w), "n": F.count("*").over(w)}).filter("n > 1")
-    members = materialize(members.select("bucket", "nkey", "leader", "n"), "members")
-    nodes = members.select("nkey").distinct()
-    texts = lines.join(nodes, "nkey", "left_semi").groupBy("nkey").agg(F.min("line").alias("line"))
-    texts = materialize(texts, "texts")
-    links = None
+    rows = sections.filter("content is not null").select("sec_id", F.xxhash64("doc_id").alias("doc"), "site", "content")
+    lines = materialize(rows.mapInArrow(_signatures, LINE), "lines")
+    slim = lines.select("sec_id", "line_no", "doc", "nkey", "class")
+    w = Window.partitionBy("bucket")
+    members = lines.filter("buckets is not null").select("class", F.explode("buckets").alias("bucket"))
+    members = members.withColumns({"least": F.min("class").over(w), "most": F.max("class").over(w)}).filter("least <> most")
+    members = materialize(members.select("bucket", "class").distinct(), "members")
+    sets = lines.filter("shingles is not null").select("class", "shingles").join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+    sets = materialize(sets, "sets")
+    # spellings of one identity
+    ends = slim.groupBy("nkey").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("nkey", "a")
+    links = slim.select("nkey", F.col("class").alias("b")).join(ends, "nkey").filter("a <> b").select("a", "b").distinct()
+    members = members.withColumns({"leader": F.min("class").over(w), "n": F.count("*").over(w)})
     while True:
-        small = members.filter(F.col("n") <= PAIRS_UP_TO).select("bucket", "nkey")
-        pairs = small.join(small.withColumnRenamed("nkey", "other"), "bucket").filter("nkey < other").select(F.col("nkey").alias("a"), F.col("other").alias("b"))
+        small = members.filter(F.col("n") <= PAIRS_UP_TO).select("bucket", "class")
+        pairs = small.join(small.withColumnRenamed("class", "other"), "bucket").filter("class < other").select(F.col("class").alias("a"), F.col("other").alias("b"))
         large = members.filter(F.col("n") > PAIRS_UP_TO)
-        pairs = pairs.unionByName(large.filter("nkey <> leader").select(F.col("leader").alias("a"), F.col("nkey").alias("b"))).distinct()
-        alike = materialize(_similar(pairs, texts), "alike")
-        links = alike if links is None else links.unionByName(alike)
-        rest = large.filter("nkey <> leader").join(alike.select(F.col("a").alias("leader"), F.col("b").alias("nkey")), ["leader", "nkey"], "left_anti").select("bucket", "nkey")
-        rest = rest.withColumns({"leader": F.min("nkey").over(w), "n": F.count("*").over(w)}).filter("n > 1")
-        members = materialize(rest, "rest")
-        if members.isEmpty():
+        pairs = pairs.unionByName(large.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"))).distinct()
+        alike = materialize(_similar(pairs, sets), "alike")
+        links = links.unionByName(alike)
+        if large.isEmpty():
             break
-    parts = connected_components(links)
-    several = slim.groupBy("nkey").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("nkey")
-    wanted = parts.select(F.col("node").alias("nkey"), F.col("component").alias("cluster"))
-    wanted = materialize(several.join(wanted, "nkey", "full_outer").select("nkey", F.coalesce("cluster", "nkey").alias("cluster")), "wanted")
-    seen = slim.select("nkey", "doc").join(_few(wanted), "nkey").distinct()
+        rest = large.filter("class <> leader").join(alike.select(F.col("a").alias("leader"), F.col("b").alias("class")), ["leader", "class"], "left_anti").select("bucket", "class")
+        members = materialize(rest.withColumns({"leader": F.min("class").over(w), "n": F.count("*").over(w)}).filter("n > 1"), "rest")
+    parts = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    several = slim.groupBy("class").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("class")
+    wanted = materialize(several.join(parts, "class", "full_outer").select("class", F.coalesce("cluster", "class").alias("cluster")), "wanted")
+    seen = materialize(slim.select("class", "nkey", "doc").join(_few(wanted), "class").select("cluster", "nkey", "doc").distinct(), "seen")
     by_line = seen.groupBy("cluster", "nkey").agg(F.count("doc").alias("line_docs"))
     by_cluster = seen.select("cluster", "doc").distinct().groupBy("cluster").agg(F.count("doc").alias("cluster_docs")).filter(F.col("cluster_docs") >= min_docs)
     found = materialize(by_line.join(by_cluster, "cluster"), "found")
