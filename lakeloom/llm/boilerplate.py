@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.langid import Words, _mix
+from lakeloom.llm.langid import _mix
 from lakeloom.operators.graph import connected_components
 from lakeloom.session import MAX_BROADCAST_ROWS, materialize
 
@@ -49,22 +49,57 @@ def _number(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def masked(line: str) -> list[str]:
-    """Words with numbers, months and names masked; a run of names is one."""
-    found = _TOKEN.findall(line)
-    capitals = sum(w[:1].isupper() for w in found)
-    plain = 2 * capitals > len(found) + 2  # all in capitals: names can't be told
-    out: list[str] = []
-    for i, w in enumerate(found):
-        if w[0].isdigit():
-            w = "0"
-        elif not plain and i and w[0].isupper():
-            w = "^"
-        elif (w := w.lower()) in MONTHS:
-            w = "%"
-        if w not in "0^%" or not out or out[-1] != w:
-            out.append(w)
-    return out
+class Tokens:
+    """Numbers and kinds of words, remembered up to a bound."""
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.kind = np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
+
+    def look_up(self, tokens: list[str]) -> np.ndarray:
+        known = self.known
+        if new := [w for w in set(tokens) if w not in known]:
+            if len(known) + len(new) > self.most:
+                self.clear()
+                known, new = self.known, list(set(tokens))
+            while len(known) + len(new) > len(self.ids):
+                self.ids, self.kind = np.append(self.ids, np.zeros_like(self.ids)), np.append(self.kind, np.zeros_like(self.kind))
+            for w in new:
+                i = known[w] = len(known)
+                low = w.lower()
+                self.ids[i] = _number(low) & 0xFFFFFFFFFFFFFFFF
+                self.kind[i] = _DIGIT if w[:1].isdigit() else _MONTH if low in MONTHS else 0
+                self.kind[i] += _CAPITAL * w[:1].isupper()
+        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+
+
+_DIGIT, _MONTH, _CAPITAL = 1, 2, 4
+_MASKS = np.array([0, 1, 2, 3], np.uint64)
+
+
+def masked(lines: list[str], memory: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, line of each): numbers, months and names masked, a run of one mask made one."""
+    split = [_TOKEN.findall(x) or [""] for x in lines]
+    n = np.array([len(x) for x in split])
+    at = memory.look_up([w for x in split for w in x])
+    ids, kind = memory.ids[at], memory.kind[at]
+    line = np.repeat(np.arange(len(lines)), n)
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    capital = kind >= _CAPITAL
+    shout = 2 * np.bincount(line, capital, minlength=len(lines)) > n + 2  # all in capitals: names can't be told
+    start = np.zeros(len(ids), bool)
+    start[first] = True
+    mask = np.zeros(len(ids), np.int8)
+    mask[capital & ~shout[line] & ~start] = 3
+    mask[(kind & 3 == _MONTH) & ~((mask == 3) & ~shout[line])] = 2
+    mask[kind & 3 == _DIGIT] = 1
+    ids = np.where(mask > 0, _MASKS[mask], ids)
+    again = np.concatenate([[False], (mask[1:] > 0) & (mask[1:] == mask[:-1]) & ~start[1:]])
+    return ids[~again], line[~again]
 
 
 _rng = np.random.default_rng(11)
@@ -72,28 +107,22 @@ _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(lines: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
+def shingles(lines: list[str], memory: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all lines one after the other, and where each line starts. Every line has at least one."""
-    split = [masked(x) or [""] for x in lines]
-    n = np.array([len(x) for x in split])
-    ids = words([w for x in split for w in x])
+    ids, line = masked(lines, memory)
+    n = np.bincount(line, minlength=len(lines))
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     with np.errstate(over="ignore"):
         roll = np.zeros(len(ids), np.uint64)
-        for k in range(SHINGLE):  # words beyond the end count as nothing
-            part = ids[k:] if k else ids
-            roll[: len(ids) - k] = roll[: len(ids) - k] * np.uint64(0x9E3779B97F4A7C15) + part
+        for k in range(SHINGLE):
+            roll *= np.uint64(0x9E3779B97F4A7C15)
+            m = len(ids) - k
+            if m > 0:  # words beyond the line's end count as nothing
+                roll[:m] += np.where(line[k:] == line[:m], ids[k:] + np.uint64(1), np.uint64(0))
         roll = _mix(roll)
-        count = np.maximum(1, n - SHINGLE + 1)
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        out = roll[at]
-        first = np.concatenate([[0], np.cumsum(count)[:-1]])
-        for i in np.flatnonzero(n < SHINGLE):  # the whole line
-            h = 0
-            for w in ids[start[i] : start[i] + n[i]].tolist():
-                h = (h * 0x9E3779B97F4A7C15 + w + 1) & 0xFFFFFFFFFFFFFFFF
-            out[first[i]] = h
-    return out, first
+    count = np.maximum(1, n - SHINGLE + 1)
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    return roll[np.repeat(start - first, count) + np.arange(count.sum())], first
 
 
 def band_keys(sh: np.ndarray, start: np.ndarray, site: np.ndarray) -> list[np.ndarray]:
@@ -114,7 +143,7 @@ LINE = "sec_id bigint, line_no int, doc bigint, nkey bigint, class bigint, bucke
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From sec_id, doc, site, content: the lines. Only the first line of a class in a batch has buckets and shingles."""
-    words = Words()
+    words = Tokens()
     known: dict[str, int] = {}
     for batch in batches:
         sent: set[int] = set()
@@ -135,27 +164,27 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not lines:
                 continue
             sh, start = shingles(lines, words)
-            ends = np.append(start[1:], len(sh))
-            small = (sh >> np.uint64(33)).astype(np.int32)
-            classes, fresh, sets = np.empty(len(lines), np.int64), [], []
-            for i, (a, b, site) in enumerate(zip(start.tolist(), ends.tolist(), sites, strict=True)):
-                u = np.unique(sh[a:b])
-                c = classes[i] = int.from_bytes(blake2b(u.tobytes(), digest_size=8, salt=site.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                if c not in sent:
-                    sent.add(int(c))
-                    fresh.append(i)
-                    sets.append(np.unique(small[a:b]))
-            buckets: list = [None] * len(lines)
-            parts: list = [None] * len(lines)
-            if fresh:
-                at_ = np.concatenate([np.arange(start[i], ends[i]) for i in fresh])
-                n = ends[fresh] - start[fresh]
-                bands = band_keys(sh[at_], np.concatenate([[0], np.cumsum(n)[:-1]]), np.array(sites, np.int64)[fresh].view(np.uint64))
-                for i, row, u in zip(fresh, np.stack(bands, 1).view(np.int64), sets, strict=True):
-                    buckets[i], parts[i] = row, u
+            n = np.diff(np.append(start, len(sh)))
+            home = np.array(sites, np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):  # a class is a sequence of shingles within a site
+                place = (np.arange(len(sh)) - np.repeat(start, n)).astype(np.uint64)
+                classes = _mix(np.add.reduceat(_mix(sh + place * np.uint64(0xA24BAED4963EE407)), start) ^ _mix(home)).view(np.int64)
+            _, once = np.unique(classes, return_index=True)
+            fresh = np.array([i for i in once.tolist() if classes[i] not in sent], np.int64)
+            sent.update(classes[fresh].tolist())
+            fresh.sort()
+            lead = np.zeros(len(lines), bool)
+            lead[fresh] = True
+            own = sh[np.repeat(lead, n)]
+            sizes = n * lead
+            bands = np.stack(band_keys(own, np.concatenate([[0], np.cumsum(n[fresh])[:-1]]), home[fresh]), 1) if len(fresh) else np.zeros((0, BANDS), np.uint64)
+            offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32())
+            none = pa.array(~lead)
+            buckets = pa.ListArray.from_arrays(offsets(lead * BANDS), pa.array(bands.ravel().view(np.int64)), mask=none)
+            parts = pa.ListArray.from_arrays(offsets(sizes), pa.array((own >> np.uint64(33)).astype(np.int32)), mask=none)
             kept = part.select([0, 1]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [kept.column(0), pa.array(no, pa.int32()), kept.column(1), pa.array(keys, pa.int64()), pa.array(classes), pa.array(buckets, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+                [kept.column(0), pa.array(no, pa.int32()), kept.column(1), pa.array(keys, pa.int64()), pa.array(classes), buckets, parts],
                 names=[x.split()[0] for x in LINE.split(", ")],
             )
 
@@ -182,7 +211,7 @@ def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
     members = members.withColumns({"least": F.min("class").over(w), "most": F.max("class").over(w)}).filter("least <> most")
     members = materialize(members.select("bucket", "class").distinct(), "members")
     sets = lines.filter("shingles is not null").select("class", "shingles").join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
-    sets = materialize(sets, "sets")
+    sets = materialize(sets.withColumn("shingles", F.array_distinct("shingles")), "sets")
     # spellings of one identity
     ends = slim.groupBy("nkey").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("nkey", "a")
     links = slim.select("nkey", F.col("class").alias("b")).join(ends, "nkey").filter("a <> b").select("a", "b").distinct()
