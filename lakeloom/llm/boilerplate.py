@@ -6,7 +6,7 @@ connected classes form a cluster; a cluster seen in at least `min_docs` document
 
 A line's identity (`nkey`) is its trimmed, space-collapsed, lower-case text with runs of digits as 0, within its site; spellings
 of one identity that mask differently are connected too. A line that a third of all documents carry is one class and is sent
-on once from each Arrow batch. A bucket of at most `PAIRS_UP_TO` classes is compared pair by pair; in a larger one all are
+on about once from each task. A bucket of at most `PAIRS_UP_TO` classes is compared pair by pair; in a larger one all are
 compared with a leader, what is unlike it goes on to the next round, until every bucket is small or used up: no
 bucket is cut off.
 
@@ -29,7 +29,9 @@ from lakeloom.llm.langid import _mix
 from lakeloom.operators.graph import connected_components
 from lakeloom.session import MAX_BROADCAST_ROWS, materialize
 
-BANDS, ROWS, SHINGLE, SIMILAR, PAIRS_UP_TO = 12, 8, 5, 0.8, 64
+BANDS, ROWS, SHINGLE, SIMILAR, PAIRS_UP_TO = 10, 7, 5, 0.8, 64
+#: Classes a task remembers to have sent.
+REMEMBERED = 500_000
 # Months of the languages at hand.
 MONTHS = frozenset(
     "januar februar marts april maj juni juli august september oktober november december january february march may june july october "
@@ -142,11 +144,13 @@ LINE = "sec_id bigint, line_no int, doc bigint, nkey bigint, class bigint, bucke
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sec_id, doc, site, content: the lines. Only the first line of a class in a batch has buckets and shingles."""
+    """From sec_id, doc, site, content: the lines. Only the first line of a class in a task has buckets and shingles."""
     words = Tokens()
     known: dict[str, int] = {}
+    sent: set[int] = set()
     for batch in batches:
-        sent: set[int] = set()
+        if len(sent) > REMEMBERED:  # some are then sent again
+            sent.clear()
         for at in range(0, batch.num_rows, 300):
             part = batch.slice(at, 300)
             rows, no, lines, keys, sites = [], [], [], [], []
@@ -234,7 +238,7 @@ def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
     by_line = seen.groupBy("cluster", "nkey").agg(F.count("doc").alias("line_docs"))
     by_cluster = seen.select("cluster", "doc").distinct().groupBy("cluster").agg(F.count("doc").alias("cluster_docs")).filter(F.col("cluster_docs") >= min_docs)
     found = materialize(by_line.join(by_cluster, "cluster"), "found")
-    return slim.select("sec_id", "line_no", "nkey").distinct().join(_few(found), "nkey")
+    return slim.select("sec_id", "line_no", "nkey").join(_few(found), "nkey")
 
 
 def _few(df: DataFrame) -> DataFrame:
