@@ -29,7 +29,7 @@ from lakeloom.llm.langid import _mix
 from lakeloom.operators.graph import connected_components
 from lakeloom.session import MAX_BROADCAST_ROWS, materialize
 
-BANDS, ROWS, SHINGLE, SIMILAR, PAIRS_UP_TO = 10, 7, 5, 0.8, 64
+BANDS, ROWS, SHINGLE, SIMILAR, PAIRS_UP_TO = 12, 8, 5, 0.8, 256
 #: Classes a task remembers to have sent.
 REMEMBERED = 500_000
 # Months of the languages at hand.
