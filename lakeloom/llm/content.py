@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.boilerplate import MONTHS
 from lakeloom.llm.normalize import canonical
-from lakeloom.session import gather
+from lakeloom.session import bounded_sample
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Bounds on labelled and unlabelled training documents, on negative sentences and on landmarks.
@@ -283,11 +283,10 @@ def train(labelled: list[tuple[str, frozenset[str]]], background: list[str] = ()
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> Machine:
     """From at most `most` labelled documents, those with the smallest hashes of their ids."""
     per = labels.filter("category is not null").groupBy(id_col).agg(F.collect_set("category").alias("cats"))
-    rows = per.join(docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()), id_col)
-    rows = rows.orderBy(F.xxhash64(F.lit(2), id_col), text_col).limit(most).select(text_col, "cats")
-    plain = docs.join(per.select(id_col), id_col, "left_anti").filter(F.col(text_col).isNotNull())
-    plain = plain.orderBy(F.xxhash64(F.lit(6), id_col), text_col).limit(BACKGROUND).select(text_col)
-    return train([(r[0], frozenset(r[1])) for r in gather(rows, "the labelled sample", most)], [r[0] for r in gather(plain, "the unlabelled sample", BACKGROUND)])
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("t")).filter("t is not null")
+    rows = bounded_sample(per.join(texts, id_col).select(id_col, "t", "cats"), id_col, "the labelled sample", most, 2)
+    plain = bounded_sample(texts.join(per.select(id_col), id_col, "left_anti"), id_col, "the unlabelled sample", BACKGROUND, 6)
+    return train([(r[1], frozenset(r[2])) for r in rows], [r[1] for r in plain])
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

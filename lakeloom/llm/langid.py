@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.normalize import canonical
-from lakeloom.session import gather
+from lakeloom.session import bounded_sample
 
 LANGUAGES = ("da", "en", "de", "sv", "nb", "uk")
 # Language codes of ISO 639 and common function words of each language.
@@ -235,9 +235,8 @@ def detect(f: Filters, words: Words, lines: list[str]) -> tuple[list[str | None]
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", most: int = SAMPLE_DOCS) -> Filters:
     """Filters from at most `most` labelled documents, those with the smallest hashes of their ids."""
-    sample = docs.select(F.col(text_col).alias("t"), label_language(F.col(label_col)).alias("l"), F.xxhash64(F.lit(3), id_col).alias("h"))
-    sample = sample.filter("t is not null and l is not null").orderBy("h", "t").limit(most)
-    return train([(r[0], r[1]) for r in gather(sample.select("t", "l"), "the training sample", most)])
+    sample = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), label_language(F.col(label_col)).alias("l")).filter("t is not null and l is not null")
+    return train([(r[1], r[2]) for r in bounded_sample(sample, "k", "the training sample", most, 3)])
 
 
 def detect_lines(rows: DataFrame, filters: Filters, keep: list[str], text_col: str = "content", min_letters: int = 20) -> DataFrame:

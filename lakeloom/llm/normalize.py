@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lakeloom.session import materialize
+
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХԚԜаеорсухіѕјһԁԛԝӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXQWaeopcyxisjhdqwl"
@@ -173,7 +175,7 @@ def look_alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame
     rows = df.select(
         F.col(f"`{id_col}`").alias("id"), digest([canonical_column(c) for c in kept.values()]).alias("look"), digest(list(kept.values())).alias("spelling")
     ).filter("id is not null")
-    rows = rows.distinct()
+    rows = materialize(rows.distinct(), "looks")  # 40 bytes a row, read three times
     several = rows.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).filter("a <> b").select("look")
     rows = rows.join(several, "look", "left_semi")
     left = rows.select("look", F.col("id").alias("sec_id_a"), F.col("spelling").alias("spelling_a"))
