@@ -43,6 +43,8 @@ BACKGROUND_WEIGHT, NEAR, COMMON = 0.25, -0.6, 0.004
 LENGTH, WINDOW, DECAY = 4, 6, 0.8
 ROUNDS, COST, EMPTY, THRESHOLD = 4, 4.0, -2.0, -0.1
 MIN_WORDS = 2
+#: Texts compared with the landmarks at once, for the memory it takes.
+STEP = 40
 PATTERNS = [(0, *c) for c in combinations(range(1, WINDOW), LENGTH - 1)]
 _WEIGHT = np.array([DECAY ** (p[-1] - LENGTH + 1) for p in PATTERNS])
 _END = re.compile(r"[.!?…]+[\"”»)']*\s+|\n\s*\n|\n(?=[A-ZÆØÅÄÖÜА-ЯІЇЄҐ0-9•>*-])")
@@ -133,8 +135,8 @@ class Landmarks:
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.n))
-        for a in range(0, len(texts), 500):
-            part = texts[a : a + 500]
+        for a in range(0, len(texts), STEP):
+            part = texts[a : a + STEP]
             t, h, w = codes(part)
             i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[i] == h
@@ -142,7 +144,7 @@ class Landmarks:
             n = self.count[i]
             at = np.repeat(self.start[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             flat = np.repeat(t, n) * self.n + self.owner[at]
-            out[a : a + 500] = np.bincount(flat, np.repeat(w, n) * self.weight[at], minlength=len(part) * self.n).reshape(len(part), -1)
+            out[a : a + STEP] = np.bincount(flat, np.repeat(w, n) * self.weight[at], minlength=len(part) * self.n).reshape(len(part), -1)
         return out
 
 
