@@ -297,8 +297,8 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, max(1, batch.num_rows), 2000):
-                b = batch.slice(start, 2000)
+            for start in range(0, max(1, batch.num_rows), 10_000):
+                b = batch.slice(start, 10_000)
                 number: dict[str, int] = {}
                 doc, of = [], []
                 for d, text in enumerate(b.column(1).to_pylist()):
