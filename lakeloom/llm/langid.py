@@ -34,7 +34,7 @@ CODES = {
     "nb": "nb", "nob": "nb", "no": "nb", "nor": "nb", "uk": "uk", "ukr": "uk",
 }
 FUNCTION_WORDS = {
-    "da": "og i at det er en til af på som med den for de ikke der et har kan fra hvis eller når bliver efter hos din dit dine skal må så du får af før hvad hvor hvordan mere noget nogle også blev været ved om mig dig jeg vi ud uden under mellem sig denne dette deres hvilke gennem søge beløbet oven mindst senest",
+    "da": "inden besked give går normalt mangler mister og i at det er en til af på som med den for de ikke der et har kan fra hvis eller når bliver efter hos din dit dine skal må så du får af før hvad hvor hvordan mere noget nogle også blev været ved om mig dig jeg vi ud uden under mellem sig denne dette deres hvilke gennem søge beløbet oven mindst senest",
     "en": "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn können ihre ihr ihnen sie wegen müssen bitte ab gelten",
     "sv": "och i att det som en på är av för med den till inte om ett han men var jag från har de så kan vid efter sig eller när hon nu där också ska skulle under blev din ditt du får måste hos innan utan denna detta deras vilka söka beloppet minst senast studerande genom själv gäller nya",

@@ -72,7 +72,7 @@ def min_cost_flow(supply: dict[tuple[str, ...], int], quota: dict[str, int], cap
     Costs of a pattern's uses for a source are convex, in blocks of repetitions that double after the fourth. Successive
     shortest paths with potentials; the graph has one node for each pattern and source.
     """
-    nodes = ["s", *supply, *quota, "t"]
+    nodes = [0, *supply, *quota, 1]  # the ends are numbers, patterns tuples, sources strings
     number = {x: i for i, x in enumerate(nodes)}
     head: list[list[int]] = [[] for _ in nodes]
     to, cap, cost = [], [], []
@@ -87,7 +87,7 @@ def min_cost_flow(supply: dict[tuple[str, ...], int], quota: dict[str, int], cap
 
     arcs: dict[tuple[tuple[str, ...], str], list[int]] = {}
     for p, tokens in supply.items():
-        arc("s", p, sum(quota[s] for s in p), 0)
+        arc(0, p, sum(quota[s] for s in p), 0)
         for s in p:
             most = caps[s] if caps[s] is not None else -(-quota[s] // max(1, tokens))
             done, block = 0, 1
@@ -97,7 +97,7 @@ def min_cost_flow(supply: dict[tuple[str, ...], int], quota: dict[str, int], cap
                 done += n
                 block = done if done >= 4 else 1
     for s, q in quota.items():
-        arc(s, "t", q, 0)
+        arc(s, 1, q, 0)
     s, t = 0, len(nodes) - 1
     potential = [0] * len(nodes)
     while True:

@@ -94,7 +94,7 @@ def pieces(text: str, limit: int, overlap: int, marks: tuple[list[int], list[flo
     ends, score = marks or marked(text)
     out, start, last = [], 0, 0
     while len(text) - start > limit:
-        lo, hi = max(last + 1, start + limit // 2), start + limit
+        lo, hi = max(last + 1, start + overlap + 1, start + limit // 2), start + limit
         kind, a, b = "unit", bisect_left(ends, lo), bisect_right(ends, hi)
         if a == b:
             a = bisect_left(ends, max(last, start + overlap) + 1)
