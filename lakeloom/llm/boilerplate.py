@@ -218,7 +218,8 @@ def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
     sets = materialize(sets.withColumn("shingles", F.array_distinct("shingles")), "sets")
     # spellings of one identity
     ends = slim.groupBy("nkey").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("nkey", "a")
-    links = slim.select("nkey", F.col("class").alias("b")).join(ends, "nkey").filter("a <> b").select("a", "b").distinct()
+    ends = materialize(ends, "ends")
+    links = slim.select("nkey", F.col("class").alias("b")).join(_few(ends), "nkey").filter("a <> b").select("a", "b").distinct()
     members = members.withColumns({"leader": F.min("class").over(w), "n": F.count("*").over(w)})
     while True:
         small = members.filter(F.col("n") <= PAIRS_UP_TO).select("bucket", "class")

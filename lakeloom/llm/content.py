@@ -41,7 +41,7 @@ LABELLED, BACKGROUND, NEGATIVES, LANDMARKS = 6_000, 6_000, 9_000, 600
 #: which a run of three words is usual.
 BACKGROUND_WEIGHT, NEAR, COMMON = 0.25, -0.6, 0.004
 LENGTH, WINDOW, DECAY = 4, 6, 0.8
-ROUNDS, COST, EMPTY, THRESHOLD = 4, 4.0, -2.0, -0.1
+ROUNDS, COST, EMPTY, THRESHOLD = 4, 4.0, -2.0, -0.05
 MIN_WORDS = 2
 #: Texts compared with the landmarks at once, for the memory it takes.
 STEP = 40
