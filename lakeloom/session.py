@@ -68,11 +68,14 @@ def drop_own_tables() -> None:
 atexit.register(drop_own_tables)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: the lineage is cut and a lost executor costs nothing."""
+def materialize(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
+    """Writes `df` to the shared folder and reads it back: the lineage is cut and a lost executor costs nothing.
+
+    `plain` leaves out dictionaries, for columns of hashes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lakeloom-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
     _own.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
