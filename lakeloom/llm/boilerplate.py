@@ -29,7 +29,7 @@ from lakeloom.llm.langid import _mix
 from lakeloom.operators.graph import connected_components
 from lakeloom.session import MAX_BROADCAST_ROWS, materialize
 
-BANDS, ROWS, SHINGLE, SIMILAR, PAIRS_UP_TO = 12, 8, 5, 0.8, 256
+BANDS, ROWS, SHINGLE, SIMILAR, PAIRS_UP_TO = 9, 7, 5, 0.8, 256
 #: Classes a task remembers to have sent.
 REMEMBERED = 500_000
 # Months of the languages at hand.
@@ -38,7 +38,7 @@ MONTHS = frozenset(
     "januari februari mars augusti märz mai dezember desember oktober січня лютого березня квітня травня червня липня серпня вересня жовтня листопада грудня".split()
 )
 # End of fixed values.
-_TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_TOKEN = re.compile(r"\w+")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -208,14 +208,14 @@ def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
     `sections` has sec_id, doc_id, site, content. `line_docs` counts the documents of the site with this very line.
     """
     rows = sections.filter("content is not null").select("sec_id", F.xxhash64("doc_id").alias("doc"), "site", "content")
-    lines = materialize(rows.mapInArrow(_signatures, LINE), "lines")
+    lines = materialize(rows.mapInArrow(_signatures, LINE), "lines", plain=True)
     slim = lines.select("sec_id", "line_no", "doc", "nkey", "class")
     w = Window.partitionBy("bucket")
     members = lines.filter("buckets is not null").select("class", F.explode("buckets").alias("bucket"))
     members = members.withColumns({"least": F.min("class").over(w), "most": F.max("class").over(w)}).filter("least <> most")
-    members = materialize(members.select("bucket", "class").distinct(), "members")
+    members = materialize(members.select("bucket", "class").distinct(), "members", plain=True)
     sets = lines.filter("shingles is not null").select("class", "shingles").join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
-    sets = materialize(sets.withColumn("shingles", F.array_distinct("shingles")), "sets")
+    sets = materialize(sets.withColumn("shingles", F.array_distinct("shingles")), "sets", plain=True)
     # spellings of one identity
     ends = slim.groupBy("nkey").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("nkey", "a")
     ends = materialize(ends, "ends")
@@ -226,7 +226,7 @@ def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
         pairs = small.join(small.withColumnRenamed("class", "other"), "bucket").filter("class < other").select(F.col("class").alias("a"), F.col("other").alias("b"))
         large = members.filter(F.col("n") > PAIRS_UP_TO)
         pairs = pairs.unionByName(large.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"))).distinct()
-        alike = materialize(_similar(pairs, sets), "alike")
+        alike = materialize(_similar(pairs, sets), "alike", plain=True)
         links = links.unionByName(alike)
         if large.isEmpty():
             break
