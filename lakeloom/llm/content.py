@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -53,6 +54,9 @@ _NEXT = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[\w*@$]+|[^\w\s]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
+_APART = re.compile(r"[ .\-_*]")
+_REPEATED = re.compile(r"(.)\1{2,}")
+_OPENING = frozenset(":.!?\"'«“")
 _LEET = str.maketrans("0134578@$", "oieastbas")
 
 
@@ -70,24 +74,33 @@ def sentences(text: str) -> list[str]:
     return [x.strip() for x in out if len(_LETTERS.findall(x)) >= MIN_WORDS]
 
 
+@lru_cache(1 << 17)
+def _kind(w: str) -> tuple[str, bool, bool, bool, bool]:
+    """(plain form, is a word, in capitals, starts with a capital, may be a name)."""
+    if w.isdigit():
+        return "0", False, False, False, False
+    low = w.translate(_LEET) if any(c.isdigit() or c in "@$" for c in w) and any(c.isalpha() for c in w) else w
+    low = _REPEATED.sub(r"\1", low.lower())
+    return low, w[0].isalpha(), w.isupper() and len(w) > 1, w[0].isupper() and len(w) > 1, w[0].isupper() and not (w.isupper() and len(w) > 2)
+
+
 def prepared(sentence: str) -> str:
-    """Lower case, numbers and names masked, letters written as digits or apart brought back."""
-    s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), sentence)
-    found = _TOKEN.findall(s)
-    words = [w for w in found if w[0].isalpha()]
-    shout = 2 * sum(w.isupper() and len(w) > 1 for w in words) > len(words)
+    """Lower case, numbers and names masked, letters written as digits or apart brought back.
+
+    A name is a capital word within a sentence, or at its start before another one; words in capitals are no names.
+    """
+    found = _TOKEN.findall(_SPACED.sub(lambda m: _APART.sub("", m[0]), sentence))
+    kinds = list(map(_kind, found))
+    shout = 2 * sum(k[2] for k in kinds) > sum(k[1] for k in kinds)
     out: list[str] = []
-    for i, w in enumerate(found):
-        if w.isdigit():
-            w = "0"
-        elif w[0].isupper() and not shout and not (w.isupper() and len(w) > 2) and (i > 0 and found[i - 1] not in ":.!?\"'«“" or (i + 1 < len(found) and found[i + 1][:1].isupper() and len(found[i + 1]) > 1)):
-            w = "^"
-        else:
-            if any(c.isdigit() or c in "@$" for c in w) and any(c.isalpha() for c in w):
-                w = w.translate(_LEET)
-            w = re.sub(r"(.)\1{2,}", r"\1", w.lower())
-        if w not in "0^" or not out or out[-1] != w:
-            out.append(w)
+    last, n = "", len(found)
+    for i, k in enumerate(kinds):
+        form = k[0]
+        if k[4] and not shout and (i > 0 and found[i - 1] not in _OPENING or (i + 1 < n and kinds[i + 1][3])):
+            form = "^"
+        if form != last or (form != "0" and form != "^"):
+            out.append(form)
+        last = form
     return " " + " ".join(out) + " "
 
 
