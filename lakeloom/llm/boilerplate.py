@@ -6,9 +6,8 @@ connected classes form a cluster; a cluster seen in at least `min_docs` document
 
 A line's identity (`nkey`) is its trimmed, space-collapsed, lower-case text with runs of digits as 0, within its site; spellings
 of one identity that mask differently are connected too. A line that a third of all documents carry is one class and is sent
-on about once from each task. A bucket of at most `PAIRS_UP_TO` classes is compared pair by pair; in a larger one all are
-compared with a leader, what is unlike it goes on to the next round, until every bucket is small or used up: no
-bucket is cut off.
+on about once from each task. A bucket of at most `PAIRS_UP_TO` classes is compared pair by pair; a larger one is split into
+blocks of about so many, of which every two meet: all pairs of a bucket are compared, and no bucket is cut off.
 
 Defined results: null contents and blank lines are never boilerplate; a null site is a site of its own; rows without doc_id
 count as one document; repeated rows count once; lines of fewer than five words are one shingle. Extra columns are not read.
@@ -202,6 +201,63 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(near).filter(both >= SIMILAR * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
+def _joined_in_blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join what is alike in buckets of any size: every pair is compared, block by block.
+
+    Classes whose sizes differ too much are never alike: they are kept apart by powers of `SIMILAR`, of which neighbours meet.
+    """
+    rows = large.join(sets, "class").withColumn("sized", F.floor(F.log(F.size("shingles")) / -F.log(F.lit(SIMILAR))).cast("int"))
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("bucket", "sized")) / F.lit(PAIRS_UP_TO))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), blocks))
+    packed = rows.groupBy("bucket", "sized", "block").agg(F.collect_list(F.struct("class", "shingles")).alias("e"))
+    left = packed.select("bucket", "sized", F.col("block").alias("a"), F.col("e").alias("left"))
+    right = packed.select("bucket", F.explode(F.array(F.col("sized"), F.col("sized") - 1)).alias("at"), "sized", F.col("block").alias("b"), F.col("e").alias("right"))
+    right = right.select("bucket", F.col("at").alias("sized"), (F.col("at") < F.col("sized")).alias("larger"), "b", "right")
+    pairs = left.join(right.hint("shuffle_hash"), ["bucket", "sized"]).filter("larger or a <= b").select("left", "right")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened(a: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            s = a.values.field("shingles")
+            return a.values.field("class").to_numpy(zero_copy_only=False), s.value_lengths().to_numpy(zero_copy_only=False), s.flatten().to_numpy(zero_copy_only=False)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, na, xa), (b, nb, xb) = opened(batch.column(0)[i]), opened(batch.column(1)[i])
+                alike = _alike(na, xa, nb, xb)
+                far = len(a)
+                to_a, to_b = np.arange(far), np.full(len(b), far)
+                while True:  # the first of `a` that each is joined with
+                    to_b = np.where(alike, to_a[:, None], far).min(0)
+                    new = np.minimum(to_a, np.where(alike, to_b, far).min(1))
+                    if (new == to_a).all():
+                        break
+                    to_a = new
+                one, other = np.concatenate([a[to_a], a[to_b[to_b < far]]]), np.concatenate([a, b[to_b < far]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)[one != other]), pa.array(np.maximum(one, other)[one != other])], names=["a", "b"])
+
+    return pairs.mapInArrow(joined, "a bigint, b bigint").distinct()
+
+
+def _alike(na: np.ndarray, xa: np.ndarray, nb: np.ndarray, xb: np.ndarray) -> np.ndarray:
+    """Which of the sets of sizes `na`, one after the other in `xa`, are alike which of those in `xb`."""
+    words = np.intersect1d(xa, xb)
+    both = np.zeros((len(na), len(nb)), np.float32)
+    for at in range(0, len(words), 4096):
+        part = words[at : at + 4096]
+        one, other = (_incidence(n, x, part) for n, x in ((na, xa), (nb, xb)))
+        both += one @ other.T
+    both = both.astype(np.float64)
+    return both >= SIMILAR * (na[:, None] + nb[None, :] - both)
+
+
+def _incidence(n: np.ndarray, x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(n), len(words)), np.float32)
+    at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+    hit = words[at] == x
+    out[np.repeat(np.arange(len(n)), n)[hit], at[hit]] = 1
+    return out
+
+
 def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
     """sec_id, line_no, nkey, cluster, cluster_docs, line_docs of every line whose cluster is boilerplate.
 
@@ -220,18 +276,12 @@ def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
     ends = slim.groupBy("nkey").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("nkey", "a")
     ends = materialize(ends, "ends")
     links = slim.select("nkey", F.col("class").alias("b")).join(_few(ends), "nkey").filter("a <> b").select("a", "b").distinct()
-    members = members.withColumns({"leader": F.min("class").over(w), "n": F.count("*").over(w)})
-    while True:
-        small = members.filter(F.col("n") <= PAIRS_UP_TO).select("bucket", "class")
-        pairs = small.join(small.withColumnRenamed("class", "other"), "bucket").filter("class < other").select(F.col("class").alias("a"), F.col("other").alias("b"))
-        large = members.filter(F.col("n") > PAIRS_UP_TO)
-        pairs = pairs.unionByName(large.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"))).distinct()
-        alike = materialize(_similar(pairs, sets), "alike", plain=True)
-        links = links.unionByName(alike)
-        if large.isEmpty():
-            break
-        rest = large.filter("class <> leader").join(alike.select(F.col("a").alias("leader"), F.col("b").alias("class")), ["leader", "class"], "left_anti").select("bucket", "class")
-        members = materialize(rest.withColumns({"leader": F.min("class").over(w), "n": F.count("*").over(w)}).filter("n > 1"), "rest")
+    members = members.withColumn("n", F.count("*").over(w))
+    small = members.filter(F.col("n") <= PAIRS_UP_TO).select("bucket", "class")
+    pairs = small.join(small.withColumnRenamed("class", "other"), "bucket").filter("class < other").select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
+    links = links.unionByName(materialize(_similar(pairs, sets), "alike", plain=True))
+    large = members.filter(F.col("n") > PAIRS_UP_TO).select("bucket", "class")
+    links = links.unionByName(materialize(_joined_in_blocks(large, sets), "joined", plain=True))
     parts = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     several = slim.groupBy("class").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("class")
     wanted = materialize(several.join(parts, "class", "full_outer").select("class", F.coalesce("cluster", "class").alias("cluster")), "wanted")

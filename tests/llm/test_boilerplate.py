@@ -57,6 +57,17 @@ def test_large_bucket_is_not_cut(spark, monkeypatch):
     assert {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df).collect()} == want == {(i, 15) for i in range(15)}
 
 
+def test_chain_in_a_large_bucket(spark, monkeypatch):
+    """Classes alike the first of a bucket are also compared with those that are not."""
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("la", "na", "ra")]
+    lines = [" ".join(["andet" + words[j] if j < i else w for j, w in enumerate(words)]) for i in range(0, 24, 1)]
+    df = spark.createDataFrame([(i, f"d{i}", "s", x, None) for i, x in enumerate(lines)], SCHEMA)
+    want = {(i, 24) for i in range(24)}
+    assert {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df).collect()} == want
+    monkeypatch.setattr(B, "PAIRS_UP_TO", 2)
+    assert {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df).collect()} == want
+
+
 def test_spellings_with_other_masks(spark):
     """Identity ignores case while masks see capitals: such lines still count together."""
     lines = ["Hilsen fra Anna Berg og alle os andre her", "hilsen fra anna berg og alle os andre her", "HILSEN FRA ANNA BERG OG ALLE OS ANDRE HER"]
