@@ -1,8 +1,8 @@
 """Lines that recur in many documents of one site, nearly the same lines included.
 
-Lines are masked (numbers, dates and names) and hashed by MinHash over five-word shingles of the masked text. Lines with the
-same shingles form a class. Classes of a site that share a band are compared exactly (Jaccard of shingles of 0.8 or more);
-connected classes form a cluster; a cluster seen in at least `min_docs` documents of its site is boilerplate.
+Lines are masked (numbers, dates and names) and cut into five-word shingles of the masked text. Lines with the same shingles
+form a class. Classes of a site that share one of their first shingles, rare ones first (as counted in a sample; any order
+is exact) and so many that no two alike miss each other, are compared exactly (Jaccard of shingles of 0.8 or more); connected classes form a cluster; a cluster seen in at least `min_docs` documents of its site is boilerplate.
 
 A line's identity (`nkey`) is its trimmed, space-collapsed, lower-case text with runs of digits as 0, within its site; spellings
 of one identity that mask differently are connected too. A line that a third of all documents carry is one class and is sent
@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.langid import _mix
 from lakeloom.operators.graph import connected_components
-from lakeloom.session import MAX_BROADCAST_ROWS, materialize
+from lakeloom.session import MAX_BROADCAST_ROWS, bounded_sample, materialize
 
-BANDS, ROWS, SHINGLE, SIMILAR, PAIRS_UP_TO = 9, 7, 5, 0.8, 256
+SHINGLE, SIMILAR, PAIRS_UP_TO = 5, 0.8, 256
+#: Sections in which usual shingles are counted.
+SAMPLE = 10_000
 #: Classes a task remembers to have sent.
 REMEMBERED = 500_000
 # Months of the languages at hand.
@@ -103,11 +105,6 @@ def masked(lines: list[str], memory: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return ids[~again], line[~again]
 
 
-_rng = np.random.default_rng(11)
-_A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-
-
 def shingles(lines: list[str], memory: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all lines one after the other, and where each line starts. Every line has at least one."""
     ids, line = masked(lines, memory)
@@ -126,23 +123,41 @@ def shingles(lines: list[str], memory: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return roll[np.repeat(start - first, count) + np.arange(count.sum())], first
 
 
-def band_keys(sh: np.ndarray, start: np.ndarray, site: np.ndarray) -> list[np.ndarray]:
-    """For each band, the key of each line within its site."""
-    keys = []
+def usual_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (as 31 bits, sorted) of more than one of the different lines, and how many lines have each."""
+    lines = sorted({x for t in texts for x in t.split("\n") if x.strip()})
+    words, found = Tokens(), [np.zeros(0, np.int32)]
+    for at in range(0, len(lines), 3000):
+        sh, start = shingles(lines[at : at + 3000], words)
+        line = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(sh))))
+        one = np.unique((line.astype(np.uint64) << np.uint64(31)) | (sh >> np.uint64(33)))
+        found.append((one & np.uint64(0x7FFFFFFF)).astype(np.int32))
+    known, count = np.unique(np.concatenate(found), return_counts=True)
+    return known[count > 1], count[count > 1]
+
+
+def prefix_keys(sh: np.ndarray, n: np.ndarray, site: np.ndarray, usual: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all lines (sizes `n`, one after the other in `sh`) one after the other, and how many each has.
+
+    Two sets with a Jaccard similarity of `SIMILAR` share so many elements that they share one of the first of each in any
+    common order: of m elements, the first m - ceil(SIMILAR * m) + 1.
+    """
+    line = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((sh, line))
+    sh, line = sh[order], line[order]
+    new = np.concatenate([[True], (sh[1:] != sh[:-1]) | (line[1:] != line[:-1])]) if len(sh) else np.zeros(0, bool)
+    sh, line = sh[new], line[new]
+    m = np.bincount(line, minlength=len(n))
+    many = m - np.ceil(SIMILAR * m - 1e-9).astype(np.int64) + 1
+    first = np.arange(len(sh)) - np.repeat(np.cumsum(m) - m, m) < many[line]
     with np.errstate(over="ignore"):
-        for band in range(BANDS):
-            k = _mix(site + np.uint64(band * 2 + 1))
-            for r in range(ROWS):
-                i = band * ROWS + r
-                k = k * np.uint64(0xD6E8FEB86659FD93) + (np.minimum.reduceat(sh * _A[i] + _B[i], start) >> np.uint64(16))
-            keys.append(_mix(k))
-    return keys
+        return _mix(_mix(site)[line[first]] + sh[first].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), many
 
 
-LINE = "sec_id bigint, line_no int, doc bigint, nkey bigint, class bigint, buckets array<bigint>, shingles array<int>"
+LINE = "sec_id bigint, line_no int, doc bigint, nkey bigint, class bigint, buckets array<bigint>, shingles array<int>, bits_0 bigint, bits_1 bigint"
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], usual: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """From sec_id, doc, site, content: the lines. Only the first line of a class in a task has buckets and shingles."""
     words = Tokens()
     known: dict[str, int] = {}
@@ -180,14 +195,23 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead[fresh] = True
             own = sh[np.repeat(lead, n)]
             sizes = n * lead
-            bands = np.stack(band_keys(own, np.concatenate([[0], np.cumsum(n[fresh])[:-1]]), home[fresh]), 1) if len(fresh) else np.zeros((0, BANDS), np.uint64)
+            own = (own >> np.uint64(33)).astype(np.int32)
+            keys_of, many = prefix_keys(own, n[fresh], home[fresh], usual)
+            counts = np.zeros(len(lines), np.int64)
+            counts[fresh] = many
+            bits = np.zeros((2, len(lines)), np.uint64)  # a bit for each shingle: sets differ in at least as many shingles as bits
+            if len(fresh):
+                begin = np.concatenate([[0], np.cumsum(n[fresh])[:-1]])
+                for half in (0, 1):
+                    bit = np.where(own >> 6 & 1 == half, np.uint64(1) << (own & 63).astype(np.uint64), np.uint64(0))
+                    bits[half, fresh] = np.bitwise_or.reduceat(bit, begin)
             offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32())
             none = pa.array(~lead)
-            buckets = pa.ListArray.from_arrays(offsets(lead * BANDS), pa.array(bands.ravel().view(np.int64)), mask=none)
-            parts = pa.ListArray.from_arrays(offsets(sizes), pa.array((own >> np.uint64(33)).astype(np.int32)), mask=none)
+            buckets = pa.ListArray.from_arrays(offsets(counts), pa.array(keys_of.view(np.int64)), mask=none)
+            parts = pa.ListArray.from_arrays(offsets(sizes), pa.array(own), mask=none)
             kept = part.select([0, 1]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [kept.column(0), pa.array(no, pa.int32()), kept.column(1), pa.array(keys, pa.int64()), pa.array(classes), buckets, parts],
+                [kept.column(0), pa.array(no, pa.int32()), kept.column(1), pa.array(keys, pa.int64()), pa.array(classes), buckets, parts, *map(pa.array, bits.view(np.int64))],
                 names=[x.split()[0] for x in LINE.split(", ")],
             )
 
@@ -206,9 +230,9 @@ def _joined_in_blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
 
     Classes whose sizes differ too much are never alike: they are kept apart by powers of `SIMILAR`, of which neighbours meet.
     """
-    rows = large.join(sets, "class").withColumn("sized", F.floor(F.log(F.size("shingles")) / -F.log(F.lit(SIMILAR))).cast("int"))
+    rows = large.withColumn("sized", F.floor(F.log("size") / -F.log(F.lit(SIMILAR))).cast("int"))
     blocks = F.ceil(F.count("*").over(Window.partitionBy("bucket", "sized")) / F.lit(PAIRS_UP_TO))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), blocks))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), blocks)).join(sets, "class")
     packed = rows.groupBy("bucket", "sized", "block").agg(F.collect_list(F.struct("class", "shingles")).alias("e"))
     left = packed.select("bucket", "sized", F.col("block").alias("a"), F.col("e").alias("left"))
     right = packed.select("bucket", F.explode(F.array(F.col("sized"), F.col("sized") - 1)).alias("at"), "sized", F.col("block").alias("b"), F.col("e").alias("right"))
@@ -264,12 +288,14 @@ def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
     `sections` has sec_id, doc_id, site, content. `line_docs` counts the documents of the site with this very line.
     """
     rows = sections.filter("content is not null").select("sec_id", F.xxhash64("doc_id").alias("doc"), "site", "content")
-    lines = materialize(rows.mapInArrow(_signatures, LINE), "lines", plain=True)
+    sample = bounded_sample(rows.select("sec_id", "content"), "sec_id", "the sample of lines", SAMPLE, 3)
+    sent = sections.sparkSession.sparkContext.broadcast(usual_shingles([r[1] for r in sample]))
+    lines = materialize(rows.mapInArrow(lambda batches: _signatures(batches, sent.value), LINE), "lines", plain=True)
     slim = lines.select("sec_id", "line_no", "doc", "nkey", "class")
     w = Window.partitionBy("bucket")
-    members = lines.filter("buckets is not null").select("class", F.explode("buckets").alias("bucket"))
+    members = lines.filter("buckets is not null").select("class", F.size(F.array_distinct("shingles")).alias("size"), "bits_0", "bits_1", F.explode("buckets").alias("bucket"))
     members = members.withColumns({"least": F.min("class").over(w), "most": F.max("class").over(w)}).filter("least <> most")
-    members = materialize(members.select("bucket", "class").distinct(), "members", plain=True)
+    members = materialize(members.distinct(), "members", plain=True)
     sets = lines.filter("shingles is not null").select("class", "shingles").join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
     sets = materialize(sets.withColumn("shingles", F.array_distinct("shingles")), "sets", plain=True)
     # spellings of one identity
@@ -277,10 +303,15 @@ def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
     ends = materialize(ends, "ends")
     links = slim.select("nkey", F.col("class").alias("b")).join(_few(ends), "nkey").filter("a <> b").select("a", "b").distinct()
     members = members.withColumn("n", F.count("*").over(w))
-    small = members.filter(F.col("n") <= PAIRS_UP_TO).select("bucket", "class")
-    pairs = small.join(small.withColumnRenamed("class", "other"), "bucket").filter("class < other").select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
+    small = members.filter(F.col("n") <= PAIRS_UP_TO).select("bucket", *(F.struct("class", "size", "bits_0", "bits_1").alias(x) for x in "ab"))
+    pairs = small.select("bucket", "a").join(small.select("bucket", "b"), "bucket").filter("a.class < b.class")
+    # sizes and bits bound the overlap: what cannot be alike ends before its shingles are fetched
+    pairs = pairs.filter(F.least("a.size", "b.size") >= SIMILAR * F.greatest("a.size", "b.size"))
+    apart = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in ("bits_0", "bits_1")), F.lit(0))
+    pairs = pairs.filter(apart <= (1 - SIMILAR) / (1 + SIMILAR) * (F.col("a.size") + F.col("b.size")) + 1e-6)
+    pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
     links = links.unionByName(materialize(_similar(pairs, sets), "alike", plain=True))
-    large = members.filter(F.col("n") > PAIRS_UP_TO).select("bucket", "class")
+    large = members.filter(F.col("n") > PAIRS_UP_TO).select("bucket", "class", "size")
     links = links.unionByName(materialize(_joined_in_blocks(large, sets), "joined", plain=True))
     parts = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     several = slim.groupBy("class").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("class")

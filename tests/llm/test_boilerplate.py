@@ -68,6 +68,15 @@ def test_chain_in_a_large_bucket(spark, monkeypatch):
     assert {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df).collect()} == want
 
 
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """49 words have 45 shingles; another word in the middle changes five: 40 of 50 are common."""
+    rng = random.Random(8)
+    lines = [["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(49)] for _ in range(150)]
+    pairs = [" ".join(x) for words in lines for x in (words, [*words[:24], "andet", *words[25:]])]
+    found = B.repeated_lines(spark.createDataFrame([(i, f"d{i}", "s", x, None) for i, x in enumerate(pairs)], SCHEMA), min_docs=2)
+    assert {(r.sec_id, r.cluster_docs) for r in found.collect()} == {(i, 2) for i in range(300)}
+
+
 def test_spellings_with_other_masks(spark):
     """Identity ignores case while masks see capitals: such lines still count together."""
     lines = ["Hilsen fra Anna Berg og alle os andre her", "hilsen fra anna berg og alle os andre her", "HILSEN FRA ANNA BERG OG ALLE OS ANDRE HER"]
