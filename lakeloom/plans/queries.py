@@ -516,7 +516,7 @@ walk(node, depth) as (select 's1', 0 union select e.dst, depth + 1 from walk joi
 select node, cast(min(depth) as integer) as depth from walk where depth > 0 group by node""")
 def crawl_bfs(spark, sf_dir):
     rows = _read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    return links.reached(rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "s1", max_depth=8)
+    return links.reached(rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "s1")
 
 
 @_query("""

@@ -5,6 +5,7 @@ import pytest
 
 from lakeloom import providers
 from lakeloom.operators import graph, links, pages, rag, snapshots, telemetry, vectors
+from lakeloom.plans import queries
 from lakeloom.sources import readers, sinks
 
 HTML = """<html><head><title>x</title><script>var a="</p>";</script></head><body><nav><li>menu</nav><article>
@@ -22,6 +23,13 @@ def test_link_rules(spark):
     assert {r.h for r in df.filter(links.is_followed(df.h)).collect()} == {"/a.PDF", "/x.jpg"}
 
 
+def test_crawl_runs_until_nothing_is_new(spark, tmp_path):
+    """A chain s1 - p1 - s2 - p2 - ... goes on beyond any fixed depth; both directions are links."""
+    spark.createDataFrame([(i + j, i) for i in range(1, 8) for j in (0, 1)], "l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {("s1", 2)} | {(f"p{i}", 2 * i - 1) for i in range(1, 8)} | {(f"s{i + 1}", 2 * i) for i in range(1, 8)}
+    assert {(r.node, r.depth) for r in queries.crawl_bfs(spark, str(tmp_path)).collect()} == want
+
+
 def test_reached(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), (None, "z"), ("b", "c")], "src string, dst string")
     assert {(r.node, r.depth) for r in links.reached(e, "a").collect()} == {("b", 1), ("c", 2), ("a", 3)}
