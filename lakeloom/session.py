@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Rows a table may have to be gathered on the driver or broadcast by hand.
 MAX_BROADCAST_ROWS = 50_000
+#: Keys with more than this part of all rows are met by broadcast: there are fewer than `HOT` of them.
+HOT = 10_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own: list[tuple[SparkSession, str]] = []
 
@@ -71,13 +74,43 @@ atexit.register(drop_own_tables)
 def materialize(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: the lineage is cut and a lost executor costs nothing.
 
-    `plain` leaves out dictionaries, for columns of hashes.
+    `plain` leaves out dictionaries, for columns of hashes. The write's shuffle files go as soon as it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lakeloom-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     _own.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lakeloom_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing reads any more: what was made of them must have been written."""
+    for t in tables:
+        path = t._lakeloom_path
+        fs, p = _fs(t.sparkSession, path)
+        fs.delete(p, True)
+        _own.remove((t.sparkSession, path))
+
+
+def join_one(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """`big` joined with `small`, a written table of one row for each key, however often a key occurs in `big`.
+
+    A table counted as small is broadcast. Else the keys with over 1 / `HOT` of the rows of `big`, of which there are fewer
+    than `HOT`, meet by broadcast and only the others are shuffled, so no task gets a hot key.
+    """
+    if small.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key)
+    counts = materialize(big.groupBy(key).count(), "counts", plain=True)
+    least = (counts.agg(F.sum("count")).first()[0] or 0) // HOT
+    hot = F.broadcast(counts.filter(F.col("count") > max(1000, least)).select(key))
+    return big.join(F.broadcast(small.join(hot, key, "left_semi")), key).unionByName(big.join(hot, key, "left_anti").join(small, key))
 
 
 def gather(df: DataFrame, what: str, most: int = MAX_BROADCAST_ROWS) -> list:
