@@ -1,16 +1,21 @@
 """Lines that recur in many documents of one site, nearly the same lines included.
 
 Lines are masked (numbers, dates and names) and cut into five-word shingles of the masked text. Lines with the same shingles
-form a class. Classes of a site that share one of their first shingles, rare ones first (as counted in a sample; any order
-is exact) and so many that no two alike miss each other, are compared exactly (Jaccard of shingles of 0.8 or more); connected classes form a cluster; a cluster seen in at least `min_docs` documents of its site is boilerplate.
+form a class. Classes meet by locality-sensitive hashing within their site: a class falls into the buckets of its least shingles
+in one order of all shingles, rare ones first by a sketch that counts all classes, then by hash. It takes so many of them that
+two classes with a Jaccard similarity of 0.8 or more always share a bucket (any order has that property, a rare-first one
+keeps buckets small), so the hashing misses no pair. Pairs of a bucket are compared exactly; connected classes form a cluster; a
+cluster seen in at least `min_docs` documents of its site is boilerplate.
 
 A line's identity (`nkey`) is its trimmed, space-collapsed, lower-case text with runs of digits as 0, within its site; spellings
 of one identity that mask differently are connected too. A line that a third of all documents carry is one class and is sent
-on about once from each task. A bucket of at most `PAIRS_UP_TO` classes is compared pair by pair; a larger one is split into
-blocks of about so many, of which every two meet: all pairs of a bucket are compared, and no bucket is cut off.
+on about once from each task. The sketch never counts too low, so it says before anything is shuffled which buckets may hold more
+than `PAIRS_UP_TO` classes: those are split into blocks of about so many, of which every two meet in a cell of their own. All
+pairs of a bucket are compared, no bucket is cut off and no cell is large.
 
 Defined results: null contents and blank lines are never boilerplate; a null site is a site of its own; rows without doc_id
-count as one document; repeated rows count once; lines of fewer than five words are one shingle. Extra columns are not read.
+count as one document; repeated rows count once; versions of a section with one sec_id are cleaned each; lines of fewer than five
+words are one shingle. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,16 +26,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.langid import _mix
 from lakeloom.operators.graph import connected_components
-from lakeloom.session import MAX_BROADCAST_ROWS, bounded_sample, materialize
+from lakeloom.session import join_one, materialize, release
 
 SHINGLE, SIMILAR, PAIRS_UP_TO = 5, 0.8, 256
-#: Sections in which usual shingles are counted.
-SAMPLE = 10_000
+#: Counters in a row of the sketch, and rows: its size is the same for any data.
+SKETCH, SKETCH_ROWS = 1 << 20, 2
 #: Classes a task remembers to have sent.
 REMEMBERED = 500_000
 # Months of the languages at hand.
@@ -123,42 +128,11 @@ def shingles(lines: list[str], memory: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return roll[np.repeat(start - first, count) + np.arange(count.sum())], first
 
 
-def usual_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles (as 31 bits, sorted) of more than one of the different lines, and how many lines have each."""
-    lines = sorted({x for t in texts for x in t.split("\n") if x.strip()})
-    words, found = Tokens(), [np.zeros(0, np.int32)]
-    for at in range(0, len(lines), 3000):
-        sh, start = shingles(lines[at : at + 3000], words)
-        line = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(sh))))
-        one = np.unique((line.astype(np.uint64) << np.uint64(31)) | (sh >> np.uint64(33)))
-        found.append((one & np.uint64(0x7FFFFFFF)).astype(np.int32))
-    known, count = np.unique(np.concatenate(found), return_counts=True)
-    return known[count > 1], count[count > 1]
+LINE = "sec_id bigint, text bigint, line_no int, doc bigint, nkey bigint, class bigint, home bigint, shingles array<int>"
 
 
-def prefix_keys(sh: np.ndarray, n: np.ndarray, site: np.ndarray, usual: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all lines (sizes `n`, one after the other in `sh`) one after the other, and how many each has.
-
-    Two sets with a Jaccard similarity of `SIMILAR` share so many elements that they share one of the first of each in any
-    common order: of m elements, the first m - ceil(SIMILAR * m) + 1.
-    """
-    line = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((sh, line))
-    sh, line = sh[order], line[order]
-    new = np.concatenate([[True], (sh[1:] != sh[:-1]) | (line[1:] != line[:-1])]) if len(sh) else np.zeros(0, bool)
-    sh, line = sh[new], line[new]
-    m = np.bincount(line, minlength=len(n))
-    many = m - np.ceil(SIMILAR * m - 1e-9).astype(np.int64) + 1
-    first = np.arange(len(sh)) - np.repeat(np.cumsum(m) - m, m) < many[line]
-    with np.errstate(over="ignore"):
-        return _mix(_mix(site)[line[first]] + sh[first].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), many
-
-
-LINE = "sec_id bigint, line_no int, doc bigint, nkey bigint, class bigint, buckets array<bigint>, shingles array<int>, bits_0 bigint, bits_1 bigint"
-
-
-def _signatures(batches: Iterator[pa.RecordBatch], usual: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """From sec_id, doc, site, content: the lines. Only the first line of a class in a task has buckets and shingles."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sec_id, text, doc, site, content: the lines. Only the first line of a class in a task has its home and shingles."""
     words = Tokens()
     known: dict[str, int] = {}
     sent: set[int] = set()
@@ -168,7 +142,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], usual: tuple[np.ndarray, np.n
         for at in range(0, batch.num_rows, 300):
             part = batch.slice(at, 300)
             rows, no, lines, keys, sites = [], [], [], [], []
-            for r, (site, text) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            for r, (site, text) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
                 name = "" if site is None else f"{site}\n"
                 for i, line in enumerate(text.split("\n")):
                     if same := same_line(line):
@@ -183,83 +157,170 @@ def _signatures(batches: Iterator[pa.RecordBatch], usual: tuple[np.ndarray, np.n
                 continue
             sh, start = shingles(lines, words)
             n = np.diff(np.append(start, len(sh)))
-            home = np.array(sites, np.int64).view(np.uint64)
+            home = np.array(sites, np.int64)
             with np.errstate(over="ignore"):  # a class is a sequence of shingles within a site
                 place = (np.arange(len(sh)) - np.repeat(start, n)).astype(np.uint64)
-                classes = _mix(np.add.reduceat(_mix(sh + place * np.uint64(0xA24BAED4963EE407)), start) ^ _mix(home)).view(np.int64)
+                classes = _mix(np.add.reduceat(_mix(sh + place * np.uint64(0xA24BAED4963EE407)), start) ^ _mix(home.view(np.uint64))).view(np.int64)
             _, once = np.unique(classes, return_index=True)
-            fresh = np.array([i for i in once.tolist() if classes[i] not in sent], np.int64)
+            fresh = [i for i in once.tolist() if classes[i] not in sent]
             sent.update(classes[fresh].tolist())
-            fresh.sort()
             lead = np.zeros(len(lines), bool)
             lead[fresh] = True
-            own = sh[np.repeat(lead, n)]
-            sizes = n * lead
-            own = (own >> np.uint64(33)).astype(np.int32)
-            keys_of, many = prefix_keys(own, n[fresh], home[fresh], usual)
-            counts = np.zeros(len(lines), np.int64)
-            counts[fresh] = many
-            bits = np.zeros((2, len(lines)), np.uint64)  # a bit for each shingle: sets differ in at least as many shingles as bits
-            if len(fresh):
-                begin = np.concatenate([[0], np.cumsum(n[fresh])[:-1]])
-                for half in (0, 1):
-                    bit = np.where(own >> 6 & 1 == half, np.uint64(1) << (own & 63).astype(np.uint64), np.uint64(0))
-                    bits[half, fresh] = np.bitwise_or.reduceat(bit, begin)
-            offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32())
-            none = pa.array(~lead)
-            buckets = pa.ListArray.from_arrays(offsets(counts), pa.array(keys_of.view(np.int64)), mask=none)
-            parts = pa.ListArray.from_arrays(offsets(sizes), pa.array(own), mask=none)
-            kept = part.select([0, 1]).take(pa.array(rows, pa.int64()))
+            own = (sh[np.repeat(lead, n)] >> np.uint64(33)).astype(np.int32)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n * lead)]), pa.int32())
+            kept = part.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [kept.column(0), pa.array(no, pa.int32()), kept.column(1), pa.array(keys, pa.int64()), pa.array(classes), buckets, parts, *map(pa.array, bits.view(np.int64))],
+                [kept.column(0), kept.column(1), pa.array(no, pa.int32()), kept.column(2), pa.array(keys, pa.int64()), pa.array(classes), pa.array(home, mask=~lead), pa.ListArray.from_arrays(offsets, pa.array(own), mask=pa.array(~lead))],
                 names=[x.split()[0] for x in LINE.split(", ")],
             )
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes whose shingles overlap enough. `sets` has class and shingles."""
-    left, right = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    # sizes bound the overlap, so most unlike pairs end before their shingles are compared
-    near = F.least(F.size("of_a"), F.size("of_b")) >= SIMILAR * F.greatest(F.size("of_a"), F.size("of_b"))
-    return pairs.join(left, "a").join(right, "b").filter(near).filter(both >= SIMILAR * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, all values one after the other)."""
+    return column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _joined_in_blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join what is alike in buckets of any size: every pair is compared, block by block.
+def bucket_keys(home: np.ndarray, n: np.ndarray, sh: np.ndarray) -> np.ndarray:
+    """A key for each shingle of sets that lie one after the other in `sh`: the shingle within its site."""
+    with np.errstate(over="ignore"):
+        return _mix(np.repeat(_mix(home.view(np.uint64)), n) + sh.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def slots(keys: np.ndarray) -> list[np.ndarray]:
+    """The counter of each key in every row of the sketch."""
+    return [((keys >> np.uint64(20 * r)) & np.uint64(SKETCH - 1)).astype(np.int64) + r * SKETCH for r in range(SKETCH_ROWS)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From home, shingles of all classes: the task's sketch."""
+    count = np.zeros(SKETCH * SKETCH_ROWS, np.int64)
+    for batch in batches:
+        n, sh = _lists(batch.column(1))
+        for at in slots(bucket_keys(batch.column(0).to_numpy(zero_copy_only=False), n, sh)):
+            count += np.bincount(at, minlength=len(count))
+    there = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(count[there])], names=["slot", "n"])
+
+
+def sketch_of(sets: DataFrame) -> np.ndarray:
+    """Counters of how many classes hold a shingle of a site, of a fixed size whatever the data: never too low."""
+    t = sets.select("home", "shingles").mapInArrow(_counted, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SKETCH * SKETCH_ROWS, np.uint32)
+    out[t.column("slot").to_numpy()] = np.minimum(t.column("n").to_numpy(), 2**32 - 1)
+    return out
+
 
-    Classes whose sizes differ too much are never alike: they are kept apart by powers of `SIMILAR`, of which neighbours meet.
+def least_hashes(home: np.ndarray, n: np.ndarray, sh: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, bucket, bound of the bucket's size) of the buckets of all sets.
+
+    A set's buckets are its least elements in an order of all shingles of a site: rare ones first, then by hash. Of m
+    elements it takes the first m - ceil(SIMILAR * m) + 1: two sets with a similarity of `SIMILAR` or more share one of those.
     """
-    rows = large.withColumn("sized", F.floor(F.log("size") / -F.log(F.lit(SIMILAR))).cast("int"))
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("bucket", "sized")) / F.lit(PAIRS_UP_TO))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), blocks)).join(sets, "class")
-    packed = rows.groupBy("bucket", "sized", "block").agg(F.collect_list(F.struct("class", "shingles")).alias("e"))
-    left = packed.select("bucket", "sized", F.col("block").alias("a"), F.col("e").alias("left"))
-    right = packed.select("bucket", F.explode(F.array(F.col("sized"), F.col("sized") - 1)).alias("at"), "sized", F.col("block").alias("b"), F.col("e").alias("right"))
-    right = right.select("bucket", F.col("at").alias("sized"), (F.col("at") < F.col("sized")).alias("larger"), "b", "right")
-    pairs = left.join(right.hint("shuffle_hash"), ["bucket", "sized"]).filter("larger or a <= b").select("left", "right")
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def opened(a: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            s = a.values.field("shingles")
-            return a.values.field("class").to_numpy(zero_copy_only=False), s.value_lengths().to_numpy(zero_copy_only=False), s.flatten().to_numpy(zero_copy_only=False)
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (a, na, xa), (b, nb, xb) = opened(batch.column(0)[i]), opened(batch.column(1)[i])
-                alike = _alike(na, xa, nb, xb)
-                far = len(a)
-                to_a, to_b = np.arange(far), np.full(len(b), far)
-                while True:  # the first of `a` that each is joined with
-                    to_b = np.where(alike, to_a[:, None], far).min(0)
-                    new = np.minimum(to_a, np.where(alike, to_b, far).min(1))
-                    if (new == to_a).all():
-                        break
-                    to_a = new
-                one, other = np.concatenate([a[to_a], a[to_b[to_b < far]]]), np.concatenate([a, b[to_b < far]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)[one != other]), pa.array(np.maximum(one, other)[one != other])], names=["a", "b"])
-
-    return pairs.mapInArrow(joined, "a bigint, b bigint").distinct()
+    keys = bucket_keys(home, n, sh)
+    seen = np.minimum.reduce([sketch[at] for at in slots(keys)]).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((keys, seen, of))
+    many = n - np.ceil(SIMILAR * n - 1e-9).astype(np.int64) + 1
+    first = order[np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n) < many[of]]
+    return of[first], keys[first], seen[first]
+
+
+CELL = "cell bigint, side tinyint, class bigint, size int, bits_0 bigint, bits_1 bigint, shingles array<int>"
+
+
+def _cells(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, most: int = PAIRS_UP_TO) -> Iterator[pa.RecordBatch]:
+    """From class, home, shingles: every class in each cell of its buckets. Shingles come along where a bucket has several blocks."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2000):
+            batch = whole.slice(start, 2000)
+            classes, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            n, sh = _lists(batch.column(2))
+            begin = np.cumsum(n) - n
+            bits = np.zeros((2, len(n)), np.uint64)  # a bit for each shingle: sets differ in at least as many shingles as bits
+            for half in (0, 1):
+                bits[half] = np.bitwise_or.reduceat(np.where(sh >> 6 & 1 == half, np.uint64(1) << (sh & 63).astype(np.uint64), np.uint64(0)), begin)
+            row, bucket, bound = least_hashes(home, n, sh, sketch)
+            blocks = np.maximum(1, -(-bound // most))
+            own = (_mix(classes.view(np.uint64))[row] % blocks.astype(np.uint64)).astype(np.int64)
+            # a class meets its own block and every other one: cell (i, j), i <= j, has block i on side 0 and block j on side 1
+            at = np.repeat(np.arange(len(row)), blocks)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            i, j = np.minimum(own[at], other), np.maximum(own[at], other)
+            with np.errstate(over="ignore"):
+                cell = np.where(blocks[at] == 1, bucket[at], _mix(bucket[at] + _mix((i * (1 << 32) + j).astype(np.uint64))))
+            of, many = row[at], blocks[at] > 1
+            size = np.where(many, n[of], 0)
+            parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), batch.column(2).take(pa.array(of[many])).flatten(), mask=pa.array(~many))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell.view(np.int64)), pa.array((own[at] == j).astype(np.int8) * (i < j).astype(np.int8)), pa.array(classes[of]), pa.array(n[of].astype(np.int32)), *(pa.array(b[of].view(np.int64)) for b in bits), parts],
+                names=[x.split()[0] for x in CELL.split(", ")],
+            )
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows ordered by cell, side and size: pairs (a, b, sure) that may be alike; those of a bucket with several blocks are sure."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        cell = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on
+        rest = batch.slice(last)
+        yield from _pairs_of(batch.slice(0, last))
+    if rest is not None:
+        yield from _pairs_of(rest)
+
+
+def _pairs_of(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if not rows.num_rows:
+        return
+    cell, side, classes, size, *bits = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+    plain = rows.column(6).is_null().to_numpy(zero_copy_only=False)
+    edge = np.concatenate([[True], cell[1:] != cell[:-1]])
+    ends = np.append(np.flatnonzero(edge), len(cell))
+    # with sizes in order the partners of a row are the following ones of its cell up to its size / SIMILAR
+    reach, mine = np.zeros(len(cell), np.int64), np.flatnonzero(plain)
+    place = (np.cumsum(edge)[mine] << 32) + size[mine]
+    most = (np.cumsum(edge)[mine] << 32) + np.floor(size[mine] / SIMILAR + 1e-9).astype(np.int64)
+    reach[mine] = np.searchsorted(place, most, "right") - np.arange(len(mine)) - 1
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    step = np.append(np.searchsorted(np.cumsum(reach), np.arange(0, reach.sum(), 2_000_000), "left"), len(reach))
+    for a, b in zip(step, step[1:], strict=False):
+        x = np.repeat(np.arange(a, b), reach[a:b])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(reach[a:b]) - reach[a:b], reach[a:b])
+        apart = sum(np.bitwise_count(v[x] ^ v[y]).astype(np.int64) for v in (b.view(np.uint64) for b in bits))
+        near = apart <= (1 - SIMILAR) / (1 + SIMILAR) * (size[x].astype(np.int64) + size[y]) + 1e-6
+        out.append((classes[x[near]], classes[y[near]]))
+    sure: list[tuple[np.ndarray, np.ndarray]] = []
+    several = ~plain[ends[:-1]] & (np.diff(ends) > 1)
+    for a, b in zip(ends[:-1][several], ends[1:][several], strict=True):
+        sure += _joined(classes[a:b], side[a:b], *_lists(rows.column(6).slice(a, b - a)))
+    for found, yes in ((out, False), (sure, True)):
+        if found:
+            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(both), yes))], names=["a", "b", "sure"])
+
+
+def _joined(classes: np.ndarray, side: np.ndarray, n: np.ndarray, sh: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that join what is alike in one cell: across its two sides, or among all rows where there is one side."""
+    one = side == 0
+    left, right = (one, ~one) if side.any() else (one, one)
+    pick = lambda m: (n[m], sh[np.repeat(m, n)])
+    if not left.any() or not right.any():
+        return []
+    alike = _alike(*pick(left), *pick(right))
+    a, b, far = classes[left], classes[right], int(left.sum())
+    to_a, to_b = np.arange(far), np.full(len(b), far)
+    while True:  # the first of `a` that each is joined with
+        to_b = np.where(alike, to_a[:, None], far).min(0)
+        new = np.minimum(to_a, np.where(alike, to_b, far).min(1))
+        if (new == to_a).all():
+            break
+        to_a = new
+    met = to_b < far
+    return [(a[to_a], a), (a[to_b[met]], b[met])]
 
 
 def _alike(na: np.ndarray, xa: np.ndarray, nb: np.ndarray, xb: np.ndarray) -> np.ndarray:
@@ -271,7 +332,7 @@ def _alike(na: np.ndarray, xa: np.ndarray, nb: np.ndarray, xb: np.ndarray) -> np
         one, other = (_incidence(n, x, part) for n, x in ((na, xa), (nb, xb)))
         both += one @ other.T
     both = both.astype(np.float64)
-    return both >= SIMILAR * (na[:, None] + nb[None, :] - both)
+    return both >= SIMILAR * (na[:, None] + nb[None, :] - both) - 1e-9
 
 
 def _incidence(n: np.ndarray, x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -282,56 +343,59 @@ def _incidence(n: np.ndarray, x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_lines(sections: DataFrame, min_docs: int = 5) -> DataFrame:
-    """sec_id, line_no, nkey, cluster, cluster_docs, line_docs of every line whose cluster is boilerplate.
+def similar_links(sets: DataFrame, most: int = PAIRS_UP_TO) -> DataFrame:
+    """(a, b): pairs of classes that are alike, or in a bucket of several blocks enough of them to connect all that are.
+
+    `sets`, a written table, has class, home and distinct shingles.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(sketch_of(sets))
+    cells = sets.select("class", "home", "shingles").mapInArrow(lambda batches: _cells(batches, sent.value, most), CELL)
+    made = cells.repartition("cell").sortWithinPartitions("cell", "side", "size").mapInArrow(_pairs, "a bigint, b bigint, sure boolean")
+    made = materialize(made, "pairs", plain=True)
+    sure = made.filter("sure").select("a", "b")
+    left, right = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    pairs = made.filter("not sure").select("a", "b").distinct().join(left, "a").join(right, "b")
+    return pairs.filter(both >= SIMILAR * (F.size("of_a") + F.size("of_b") - both) - 1e-9).select("a", "b").unionByName(sure)
+
+
+def text_key() -> Column:
+    """Tells apart the versions of a section that have one sec_id."""
+    return F.xxhash64(F.lit(3), "content")
 
-    `sections` has sec_id, doc_id, site, content. `line_docs` counts the documents of the site with this very line.
+
+def repeated_lines(sections: DataFrame, min_docs: int = 5, most: int = PAIRS_UP_TO) -> DataFrame:
+    """sec_id, text, line_no, nkey, cluster, cluster_docs, line_docs of every line whose cluster is boilerplate.
+
+    `sections` has sec_id, doc_id, site, content. `text` is the version of the section. `line_docs` counts the documents of the
+    site with this very line, `cluster_docs` those with any line of its cluster. `most` classes meet in one block of a bucket.
     """
-    rows = sections.filter("content is not null").select("sec_id", F.xxhash64("doc_id").alias("doc"), "site", "content")
-    sample = bounded_sample(rows.select("sec_id", "content"), "sec_id", "the sample of lines", SAMPLE, 3)
-    sent = sections.sparkSession.sparkContext.broadcast(usual_shingles([r[1] for r in sample]))
-    lines = materialize(rows.mapInArrow(lambda batches: _signatures(batches, sent.value), LINE), "lines", plain=True)
-    slim = lines.select("sec_id", "line_no", "doc", "nkey", "class")
-    w = Window.partitionBy("bucket")
-    members = lines.filter("buckets is not null").select("class", F.size(F.array_distinct("shingles")).alias("size"), "bits_0", "bits_1", F.explode("buckets").alias("bucket"))
-    members = members.withColumns({"least": F.min("class").over(w), "most": F.max("class").over(w)}).filter("least <> most")
-    members = materialize(members.distinct(), "members", plain=True)
-    sets = lines.filter("shingles is not null").select("class", "shingles").join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
-    sets = materialize(sets.withColumn("shingles", F.array_distinct("shingles")), "sets", plain=True)
+    rows = sections.filter("content is not null").select("sec_id", text_key().alias("text"), F.xxhash64("doc_id").alias("doc"), "site", "content")
+    lines = materialize(rows.mapInArrow(_lines, LINE), "lines", plain=True)
+    slim = lines.select("sec_id", "text", "line_no", "doc", "nkey", "class")
+    sets = lines.filter("shingles is not null").select("class", "home", F.array_distinct("shingles").alias("shingles")).dropDuplicates(["class"])
+    sets = materialize(sets, "sets", plain=True)
+    links = materialize(similar_links(sets, most), "links", plain=True)
+    release(sets)
     # spellings of one identity
-    ends = slim.groupBy("nkey").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("nkey", "a")
-    ends = materialize(ends, "ends")
-    links = slim.select("nkey", F.col("class").alias("b")).join(_few(ends), "nkey").filter("a <> b").select("a", "b").distinct()
-    members = members.withColumn("n", F.count("*").over(w))
-    small = members.filter(F.col("n") <= PAIRS_UP_TO).select("bucket", *(F.struct("class", "size", "bits_0", "bits_1").alias(x) for x in "ab"))
-    pairs = small.select("bucket", "a").join(small.select("bucket", "b"), "bucket").filter("a.class < b.class")
-    # sizes and bits bound the overlap: what cannot be alike ends before its shingles are fetched
-    pairs = pairs.filter(F.least("a.size", "b.size") >= SIMILAR * F.greatest("a.size", "b.size"))
-    apart = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in ("bits_0", "bits_1")), F.lit(0))
-    pairs = pairs.filter(apart <= (1 - SIMILAR) / (1 + SIMILAR) * (F.col("a.size") + F.col("b.size")) + 1e-6)
-    pairs = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
-    links = links.unionByName(materialize(_similar(pairs, sets), "alike", plain=True))
-    large = members.filter(F.col("n") > PAIRS_UP_TO).select("bucket", "class", "size")
-    links = links.unionByName(materialize(_joined_in_blocks(large, sets), "joined", plain=True))
-    parts = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    kinds = materialize(slim.select("nkey", "class").distinct(), "kinds", plain=True)
+    ends = kinds.groupBy("nkey").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("nkey", "a")
+    spelt = kinds.join(ends, "nkey").filter("a <> class").select("a", F.col("class").alias("b"))
+    parts = connected_components(links.unionByName(spelt)).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     several = slim.groupBy("class").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("class")
     wanted = materialize(several.join(parts, "class", "full_outer").select("class", F.coalesce("cluster", "class").alias("cluster")), "wanted")
-    seen = materialize(slim.select("class", "nkey", "doc").join(_few(wanted), "class").select("cluster", "nkey", "doc").distinct(), "seen")
+    seen = materialize(join_one(slim.select("class", "nkey", "doc"), wanted, "class").select("cluster", "nkey", "doc").distinct(), "seen", plain=True)
     by_line = seen.groupBy("cluster", "nkey").agg(F.count("doc").alias("line_docs"))
     by_cluster = seen.select("cluster", "doc").distinct().groupBy("cluster").agg(F.count("doc").alias("cluster_docs")).filter(F.col("cluster_docs") >= min_docs)
     found = materialize(by_line.join(by_cluster, "cluster"), "found")
-    return slim.select("sec_id", "line_no", "nkey").join(_few(found), "nkey")
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it is counted as small."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+    release(links, kinds, wanted, seen)
+    return join_one(slim.select("sec_id", "text", "line_no", "nkey"), found, "nkey")
 
 
 def without_repeated(sections: DataFrame, found: DataFrame) -> DataFrame:
-    """sec_id, content_clean, n_removed of every section row, its boilerplate lines left out."""
-    numbers = found.groupBy("sec_id").agg(F.collect_set("line_no").alias("drop"))
+    """sec_id, content_clean, n_removed of every distinct version of a section, its boilerplate lines left out."""
+    numbers = found.groupBy("sec_id", "text").agg(F.collect_set("line_no").alias("drop"))
     kept = F.filter(F.split("content", "\n"), lambda x, i: ~F.array_contains(F.col("drop"), i))
-    rows = sections.select("sec_id", "content").distinct().join(numbers, "sec_id", "left")
+    rows = sections.select("sec_id", "content", text_key().alias("text")).distinct().join(numbers, ["sec_id", "text"], "left")
     clean = F.when(F.col("drop").isNull(), F.col("content")).otherwise(F.array_join(kept, "\n"))
     return rows.select("sec_id", clean.alias("content_clean"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_removed"))

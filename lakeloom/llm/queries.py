@@ -31,6 +31,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeated(spark, sf_dir).filter("line_docs >= 5").select("sec_id", "line_no").distinct()
 
 
+def p5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a near-duplicate cluster that is frequent enough, with the documents of the cluster and of the very line."""
+    return _repeated(spark, sf_dir).select("sec_id", "line_no", "cluster_docs", "line_docs").distinct()
+
+
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.without_repeated(_sections(spark, sf_dir), _repeated(spark, sf_dir))
 
@@ -135,6 +140,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_neighbors": p2_neighbors,
     "p5_found": p5_found,
+    "p5_lines": p5_lines,
     "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_normalized": p6_normalized,

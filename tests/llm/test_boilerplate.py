@@ -47,25 +47,72 @@ def test_near_lines_and_cleaning(spark):
     assert clean[0] == ("egen linje nummer ab her", 1) and clean[50] == (base.format("nye"), 0)
 
 
-def test_large_bucket_is_not_cut(spark, monkeypatch):
-    """Buckets over the limit go through rounds with leaders and give the same clusters."""
+def test_large_bucket_is_not_cut(spark):
+    """Buckets over the limit are compared block by block and give the same clusters."""
     base = "alle oplysninger på denne side er kun vejledende og uden ansvar for brugen af de viste beløb og satser hos os i dette år {}"
     words = [a + b for a in "bdfgk" for b in ("ale", "ile", "ole")]
     df = spark.createDataFrame([(i, f"d{i}", "s", base.format(w), None) for i, w in enumerate(words)], SCHEMA)
-    want = {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df).collect()}
-    monkeypatch.setattr(B, "PAIRS_UP_TO", 3)
-    assert {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df).collect()} == want == {(i, 15) for i in range(15)}
+    for most in (256, 3, 1):
+        assert {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df, most=most).collect()} == {(i, 15) for i in range(15)}
 
 
-def test_chain_in_a_large_bucket(spark, monkeypatch):
-    """Classes alike the first of a bucket are also compared with those that are not."""
+def test_chain_in_a_large_bucket(spark):
+    """Lines of which only neighbours are alike are one cluster at any limit."""
     words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("la", "na", "ra")]
     lines = [" ".join(["andet" + words[j] if j < i else w for j, w in enumerate(words)]) for i in range(0, 24, 1)]
     df = spark.createDataFrame([(i, f"d{i}", "s", x, None) for i, x in enumerate(lines)], SCHEMA)
-    want = {(i, 24) for i in range(24)}
-    assert {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df).collect()} == want
-    monkeypatch.setattr(B, "PAIRS_UP_TO", 2)
-    assert {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df).collect()} == want
+    for most in (256, 2, 1):
+        assert {(r.sec_id, r.cluster_docs) for r in B.repeated_lines(df, most=most).collect()} == {(i, 24) for i in range(24)}
+
+
+def brute_clusters(rows, min_docs):
+    """(sec_id, line_no, cluster_docs) by comparing every two lines of a site."""
+    memory, lines = B.Tokens(), []
+    for sec, doc, site, content, _ in rows:
+        for i, x in enumerate((content or "").split("\n")):
+            if B.same_line(x):
+                sh, _ = B.shingles([x], memory)
+                lines.append((sec, i, doc, site, B.same_line(x), set(sh.tolist())))
+    of = list(range(len(lines)))
+    root = lambda k: k if of[k] == k else root(of[k])
+    for x, a in enumerate(lines):
+        for y in range(x):
+            b = lines[y]
+            if a[3] == b[3] and (a[4] == b[4] or len(a[5] & b[5]) >= 0.8 * len(a[5] | b[5])):
+                of[root(x)] = root(y)
+    docs = {}
+    for k, x in enumerate(lines):
+        docs.setdefault(root(k), set()).add(x[2])
+    return {(x[0], x[1], len(docs[root(k)])) for k, x in enumerate(lines) if len(docs[root(k)]) >= min_docs}
+
+
+def test_clusters_equal_brute_force(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(40)]
+    stems = [[rng.choice(words) for _ in range(rng.randrange(4, 60))] for _ in range(12)]
+    rows = []
+    for i in range(160):
+        made = []
+        for _ in range(rng.randrange(1, 4)):
+            line = list(rng.choice(stems))
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+                line[rng.randrange(len(line))] = rng.choice(words + ["7", "Hans", "maj"])
+            made.append(" ".join(line))
+        rows.append((i, f"d{i % 120}", rng.choice(["hot", "hot", "s1", None]), "\n".join(made), None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute_clusters(rows, 5)
+    assert len(want) > 50
+    for most in (256, 4):
+        assert {(r.sec_id, r.line_no, r.cluster_docs) for r in B.repeated_lines(df, most=most).collect()} == want
+
+
+def test_versions_of_a_section(spark):
+    """A later version under the same sec_id keeps its own line numbers."""
+    foot = "Vi bruger cookies, så vi kan føre statistik over besøg"
+    rows = [(i, f"d{i}", "s", f"{foot}\negen {chr(97 + i)}", None) for i in range(5)] + [(0, "d0", "s", f"ny a\n{foot}", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.sec_id, r.content_clean) for r in B.without_repeated(df, B.repeated_lines(df)).collect()}
+    assert got == {(0, "ny a"), *((i, f"egen {chr(97 + i)}") for i in range(5))}
 
 
 def test_no_pair_at_the_threshold_is_missed(spark):
