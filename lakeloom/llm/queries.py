@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import boilerplate, content, langid, leakage, mixing, neighbors, normalize, split
+from lakeloom.session import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -118,8 +119,8 @@ def p9_exact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return content.score(docs, content.fit(docs, _read(spark, sf_dir, "content_labels")))
+    ready = materialize(content.prepare(_read(spark, sf_dir, "documents")), "sentences")
+    return content.score(ready, content.fit(ready, _read(spark, sf_dir, "content_labels")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
