@@ -5,7 +5,8 @@ first words of every suffix of every evaluation passage are found in it by binar
 longest verbatim match. A match of `min_words` words holds only words that occur in some evaluation passage, so other words
 are left out of the array as separators; this loses nothing and keeps it small.
 
-The evaluation passages go to every executor; their number is checked (`MAX_ITEMS`).
+The evaluation items go to every executor in blocks of about `BLOCK_WORDS` words, as many blocks as they need: each block is
+searched against all documents. A shard holds about `SHARD_CHARS` characters, however many documents Arrow sends at once.
 
 Defined results: null and empty texts match nothing; a passage shorter than `min_words` words matches nothing; question and
 answer are never joined; of several matches of a document with one field of an item the longest is reported (the
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from lakeloom.llm.normalize import look
 from lakeloom.session import gather
 
-MAX_ITEMS = 50_000
+#: Words of evaluation items that are sent at once (and items, as short ones have a cost too); characters of documents in a shard.
+BLOCK_WORDS, BLOCK_ITEMS, SHARD_CHARS = 2_000_000, 50_000, 4_000_000
 _WORD = re.compile(r"[^\W_]+")
 _SOFT_END = re.compile("­[ \t]*\r?\n[ \t]*")
 _LINE_END = re.compile(r"(?<=[^\W_])-[ \t]*\r?\n[ \t]*(?=[^\W_])")
@@ -142,23 +144,49 @@ class Passages:
             yield d, k, ln, -word, -i
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", fields: tuple[str, ...] = ("question", "answer"), min_words: int = 12) -> DataFrame:
-    """(doc_id, item_id, field, n_words, doc_word, item_word), word numbers from 0."""
-    rows = gather(items.select(F.col(item_col).cast("bigint"), *fields).filter(F.col(item_col).isNotNull()).distinct(), "the evaluation table", MAX_ITEMS)
-    passages = Passages([(r[0], f, plain_words(r[f])) for r in sorted(rows, key=str) for f in fields if r[f]], min_words)
-    sent = docs.sparkSession.sparkContext.broadcast(passages)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            found = [(ids[d], *p.owner[k], n, w, i) for d, k, n, w, i in p.matches([plain_words(x) for x in b.column(1).to_pylist()])]
-            cols = list(zip(*found, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "field", "n_words", "doc_word", "item_word"])
+def item_blocks(items: DataFrame, fields: tuple[str, ...], words: int = BLOCK_WORDS, most: int = BLOCK_ITEMS) -> Iterator[list]:
+    """The distinct items (item, *fields) in blocks by hash, each small enough for the driver and the executors."""
+    size = sum((F.coalesce(F.length(f), F.lit(0)) for f in fields), F.lit(0))
+    n, chars = items.agg(F.count("*"), F.sum(size)).first()
+    blocks = max(1, -(-n * 5 // (most * 4)), -(-(chars or 0) // (5 * words)))
+    for b in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64(F.lit(11), "item"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield gather(part, "a block of the evaluation table", 2 * most)
+
+
+def shards(texts: list[str], most: int = SHARD_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters; a longer text is one of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
 
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", fields: tuple[str, ...] = ("question", "answer"), min_words: int = 12, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, field, n_words, doc_word, item_word), word numbers from 0."""
+    wanted = items.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), *(F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(fields))).filter("item is not null").distinct()
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("text is not null and doc_id is not null")
-    found = texts.mapInArrow(run, "doc_id bigint, item_id bigint, field string, n_words int, doc_word int, item_word int")
+    found = None
+    for rows in item_blocks(wanted, tuple(f"f{k}" for k in range(len(fields))), block_words):
+        passages = Passages([(r[0], f, plain_words(x)) for r in sorted(rows, key=str) for f, x in zip(fields, r[1:], strict=True) if x], min_words)
+        sent = docs.sparkSession.sparkContext.broadcast(passages)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            p = sent.value
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            for b in batches:
+                ids, all_texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for start, end in shards(all_texts):
+                    found = [(ids[start + d], *p.owner[k], n, w, i) for d, k, n, w, i in p.matches([plain_words(x) for x in all_texts[start:end]])]
+                    cols = list(zip(*found, strict=True)) or [[]] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "field", "n_words", "doc_word", "item_word"])
+
+        part = texts.mapInArrow(run, "doc_id bigint, item_id bigint, field string, n_words int, doc_word int, item_word int")
+        found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("n_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i")))
     found = found.groupBy("doc_id", "item_id", "field").agg(best.alias("b"))
     return found.select("doc_id", "item_id", "field", "b.n_words", (-F.col("b.d")).alias("doc_word"), (-F.col("b.i")).alias("item_word"))

@@ -25,15 +25,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lakeloom.session import materialize
+from lakeloom.session import join_one, materialize
 
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХԚԜаеорсухіѕјһԁԛԝӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXQWaeopcyxisjhdqwl"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYXovpcj"
-OTHER = "ɑɡօոսᴏӀ"
-OTHER_AS = "agonuol"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿαγικνορυϲϳ"
+GREEK_AS = "ABEZHIKMNOPTYXCJayikvopucj"
+ARMENIAN = "ՕՍՏօոսհցզք"
+ARMENIAN_AS = "OUSonuhgqp"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏔᏚᏙᏞᏟᏢᏦᏴ"
+CHEROKEE_AS = "DRTAJEWMHYGZbRWSVLCPKB"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPDTGKJCZFMNLSRVHWXYAEIOU"
+OTHER = "ɑɡᴏӀᴄᴠᴡᴢ"
+OTHER_AS = "agolcvwz"
 HYPHENS = "‐‑‒⁃−˗֊᠆﹣－"
 #: Ignorable characters outside the format category.
 IGNORABLE = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
@@ -68,7 +74,7 @@ def _plain_of(cp: int) -> str | None:
 
 @lru_cache(1)
 def _tables() -> tuple[dict[int, str], re.Pattern, dict[int, str], re.Pattern]:
-    plain: dict[int, str] = dict(zip(map(ord, CYRILLIC + GREEK + OTHER), CYRILLIC_AS + GREEK_AS + OTHER_AS, strict=True))
+    plain: dict[int, str] = dict(zip(map(ord, CYRILLIC + GREEK + ARMENIAN + CHEROKEE + LISU + OTHER), CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS + LISU_AS + OTHER_AS, strict=True))
     unstable: set[int] = set(plain)
     for cp in range(0x80, sys.maxunicode + 1):
         if cp == 0x20000:  # ideographs: only their compatibility block and the tags matter
@@ -164,20 +170,33 @@ def normalize_fields(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.withColumns({f"{f}_norm": canonical_column(F.col(f"`{f}`")) for f in fields})
 
 
-def look_alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """Distinct (sec_id_a, sec_id_b), a < b, of rows alike in all fields while at least one differs in its characters.
+#: Rows of one look that meet in one block.
+TOGETHER = 2_000
 
-    A null field looks like an empty one and does not differ from it. Only 16-byte digests are shuffled. A group of
-    one spelling, however large, is dropped before anything is paired; the pairs of the others are the result itself.
-    """
+
+def look_alike_groups(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, look, spelling) of distinct rows, digests of the plain form and of the characters of all fields. A written table."""
     kept = {f: F.coalesce(F.col(f"`{f}`"), F.lit("")) for f in fields}
     digest = lambda cols: F.unhex(F.md5(F.concat_ws("\u0000", *cols)))
     rows = df.select(
         F.col(f"`{id_col}`").alias("id"), digest([canonical_column(c) for c in kept.values()]).alias("look"), digest(list(kept.values())).alias("spelling")
     ).filter("id is not null")
-    rows = materialize(rows.distinct(), "looks")  # 40 bytes a row, read three times
-    several = rows.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).filter("a <> b").select("look")
-    rows = rows.join(several, "look", "left_semi")
-    left = rows.select("look", F.col("id").alias("sec_id_a"), F.col("spelling").alias("spelling_a"))
-    right = rows.select("look", F.col("id").alias("sec_id_b"), F.col("spelling").alias("spelling_b"))
-    return left.join(right, "look").filter("sec_id_a < sec_id_b and spelling_a <> spelling_b").select("sec_id_a", "sec_id_b").distinct()
+    return materialize(rows.distinct(), "looks")  # 40 bytes a row
+
+
+def look_alike_pairs(df: DataFrame, id_col: str, fields: list[str], together: int = TOGETHER) -> DataFrame:
+    """Distinct (sec_id_a, sec_id_b), a < b, of rows alike in all fields while at least one differs in its characters.
+
+    A null field looks like an empty one and does not differ from it. Only 16-byte digests are shuffled. A group of
+    one spelling, however large, is dropped before anything is paired. The rows of a look lie in blocks of about `together`,
+    of which every two meet in a task's group of their own: the pairs are the result itself, and no task makes those of a hot look.
+    """
+    rows = look_alike_groups(df, id_col, fields)
+    several = rows.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    several = materialize(several.select("look", F.ceil(F.col("n") / F.lit(together)).cast("int").alias("blocks")), "several")
+    rows = join_one(rows, several, "look").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sides = rows.select("look", "block", "id", "spelling", met.alias("other"))
+    left = sides.select("look", "block", "other", F.col("id").alias("sec_id_a"), F.col("spelling").alias("spelling_a"))
+    right = sides.select("look", F.col("other").alias("block"), F.col("block").alias("other"), F.col("id").alias("sec_id_b"), F.col("spelling").alias("spelling_b"))
+    return left.join(right, ["look", "block", "other"]).filter("sec_id_a < sec_id_b and spelling_a <> spelling_b").select("sec_id_a", "sec_id_b").distinct()

@@ -65,3 +65,16 @@ def test_report_and_empty(spark):
     assert [r.doc_id for r in L.without_leaks(docs, found).collect()] == [2]
     assert L.leaks(docs.limit(0), items).count() == 0
     assert L.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_items_in_blocks(spark):
+    """As many blocks as the items need give the same rows as one."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("ab cd ef gh ij kl mn op qr".split())
+    items = [(i, " ".join(word() for _ in range(14)), None, 1) for i in range(60)]
+    docs = [(d, "xx " + items[d % 60][1] + " yy", "x") for d in range(90)]
+    df, it = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    one = {tuple(r) for r in L.leaks(df, it).collect()}
+    assert {tuple(r) for r in L.leaks(df, it, block_words=100).collect()} == one and len(one) >= 90
+    assert len(list(L.item_blocks(it.selectExpr("item_id as item", "question as f0"), ("f0",), 100))) > 3
+    assert list(L.shards(["a" * 5, "b" * 5, "c" * 20, "d"], 10)) == [(0, 2), (2, 3), (3, 4)] and list(L.shards([])) == []

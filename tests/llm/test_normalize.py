@@ -31,7 +31,7 @@ def test_every_single_character():
 
 
 def test_alike_and_different():
-    alike = [("ｆｕｌｄ", "fuld"), ("ﬁl", "fil"), ("å", "å"), ("Вrug", "Brug"), ("e‑mail", "e-mail"), ("a b", "a b"), ("a​b­", "ab"), ("K", "K"), ("і", "i"), ("ї", "ï")]
+    alike = [("ｆｕｌｄ", "fuld"), ("ﬁl", "fil"), ("å", "å"), ("Вrug", "Brug"), ("e‑mail", "e-mail"), ("a b", "a b"), ("a​b­", "ab"), ("K", "K"), ("і", "i"), ("ї", "ï"), ("ιnk", "ink"), ("Ꭺᏼ"[0], "A"), ("ꓐ", "B"), ("ոօ", "no")]
     for a, b in alike:
         assert N.canonical(a) == N.canonical(b), (a, b)
     for a, b in [("ø", "o"), ("å", "aa"), ("A", "a"), ("a  b", "a b"), ("1", "l"), ("–", "-"), ("“", '"'), ("a\nb", "a b"), ("²", "2")]:
@@ -47,6 +47,8 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, "sec_id bigint, heading string, content string, look int")
     got = {tuple(r) for r in N.look_alike_pairs(df.filter("content is not null"), "sec_id", ["heading", "content"]).collect()}
     assert got == {(1, 2), (2, 6), (3, 5), (4, 5), (8, 9)}
+    for together in (1, 2):  # a look in several blocks
+        assert {tuple(r) for r in N.look_alike_pairs(df.filter("content is not null"), "sec_id", ["heading", "content"], together).collect()} == got
     assert N.look_alike_pairs(df.limit(0), "sec_id", ["heading", "content"]).count() == 0
     out = {r.sec_id: r.content_norm for r in N.normalize_fields(df, ["heading", "content"]).collect()}
     assert out[2] == "abc" and out[7] is None and out[8] == ""
