@@ -10,8 +10,10 @@ Use: all n-grams of many lines are looked up together; the popcounts of a line f
 false positives, and the language with the highest count wins. Confidence is its lead over the second, by the
 number of n-grams that tell languages apart. Words that start with a capital within a sentence, as names do, count less.
 
+Lines of which too few n-grams are known in any language are of another one (`other`).
+
 Defined results: null, empty and letterless texts have language null and confidence 0; ties go to the first language in the order
-of LANGUAGES; without training documents the function words alone decide.
+of LANGUAGES; without training documents the function words alone decide, and a line of the language they give is never of another one.
 """
 
 from __future__ import annotations
@@ -34,12 +36,12 @@ CODES = {
     "nb": "nb", "nob": "nb", "no": "nb", "nor": "nb", "uk": "uk", "ukr": "uk",
 }
 FUNCTION_WORDS = {
-    "da": "inden besked give går normalt mangler mister og i at det er en til af på som med den for de ikke der et har kan fra hvis eller når bliver efter hos din dit dine skal må så du får af før hvad hvor hvordan mere noget nogle også blev været ved om mig dig jeg vi ud uden under mellem sig denne dette deres hvilke gennem søge beløbet oven mindst senest",
+    "da": "og i at det er en til af på som med den for de ikke der et har kan fra hvis eller når bliver efter hos din dit dine skal må så du får af før hvad hvor hvordan mere noget nogle også blev været ved om mig dig jeg vi ud uden under mellem sig denne dette deres hvilke gennem inden os mindst senest",
     "en": "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn können ihre ihr ihnen sie wegen müssen bitte ab gelten",
-    "sv": "och i att det som en på är av för med den till inte om ett han men var jag från har de så kan vid efter sig eller när hon nu där också ska skulle under blev din ditt du får måste hos innan utan denna detta deras vilka söka beloppet minst senast studerande genom själv gäller nya",
-    "nb": "og i det er på til som en for med av at ikke den har de et om var jeg fra seg men han så kan vi ble skal etter ved eller når nå også hun dere noe noen hva hvor hvordan mer blir hos din ditt du får må gi beskjed dersom hvis enn søke beløpet minst senest uten mellom gjelder nye vanligvis ellers støtten",
-    "uk": "і в на не що з до як та це за у від для про але або якщо ви ваш ваша вас він вона вони ми його її їх був була було буде є по при після перед коли де чи так ні також можна може через під над без між щоб який яка яке які цей ця всі нові діють отримає отримати",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn können ihre ihr ihnen sie wegen müssen bitte ab",
+    "sv": "och i att det som en på är av för med den till inte om ett han men var jag från har de så kan vid efter sig eller när hon nu där också ska skulle under blev din ditt du får måste hos innan utan denna detta deras vilka minst senast genom själv oss inom",
+    "nb": "og i det er på til som en for med av at ikke den har de et om var jeg fra seg men han så kan vi ble skal etter ved eller når nå også hun dere noe noen hva hvor hvordan mer blir hos din ditt du får må dersom hvis enn minst senest uten mellom vanligvis ellers oss innen",
+    "uk": "і в на не що з до як та це за у від для про але або якщо ви ваш ваша вас він вона вони ми його її їх був була було буде є по при після перед коли де чи так ні також можна може через під над без між щоб який яка яке які цей ця всі",
 }
 # End of fixed values.
 
@@ -48,6 +50,10 @@ SAMPLE_DOCS, HASHES, SHARE = 12_000, 3, 0.12
 LOG2_BITS = 20
 #: What a run of letters counts next to a word.
 LETTER_WEIGHT = 0.2
+#: A line is of another language if the n-grams of its best language are less than this part of its words, of which it has so many.
+OTHER, OTHER_SHARE, OTHER_WORDS = "other", 0.2, 5
+#: One bit for each language.
+BITS = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(LANGUAGES))
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _LETTER = re.compile(r"[^\W\d_]")
 _URL = re.compile(r"\s*(?:(?:https?|ftp)://|www\.)\S+\s*|\s*[\w-]+(?:\.[\w-]+)+(?:/\S*)?\s*", re.I)
@@ -122,7 +128,7 @@ class Filters:
 
     def __init__(self, log2_bits: int = LOG2_BITS, hashes: int = HASHES):
         self.mask = np.uint64((1 << log2_bits) - 1)
-        self.slices = np.zeros(1 << log2_bits, np.uint8)
+        self.slices = np.zeros(1 << log2_bits, BITS)
         self.hashes = hashes
 
     def _at(self, g: np.ndarray) -> list[np.ndarray]:
@@ -135,12 +141,12 @@ class Filters:
             np.bitwise_or.at(self.slices, at, languages)
 
     def seal(self) -> Filters:
-        fill = np.array([(self.slices >> k & 1).mean() for k in range(len(LANGUAGES))])
+        fill = np.array([(self.slices >> BITS(k) & BITS(1)).mean() for k in range(len(LANGUAGES))])
         self.false = fill**self.hashes
         return self
 
     def languages(self, g: np.ndarray) -> np.ndarray:
-        out = np.full(len(g), 255, np.uint8)
+        out = np.full(len(g), np.iinfo(BITS).max, BITS)
         for at in self._at(g):
             out &= self.slices[at]
         return out
@@ -149,9 +155,9 @@ class Filters:
         """Corrected popcounts of n lines for each language; n-grams that tell languages apart."""
         sets = self.languages(g)
         total = np.bincount(line, minlength=n)
-        full = (1 << len(LANGUAGES)) - 1
+        full = BITS((1 << len(LANGUAGES)) - 1)
         telling = np.bincount(line[(sets != 0) & (sets != full)], minlength=n)
-        c = np.stack([np.bincount(line[(sets >> k & 1).astype(bool)], minlength=n) for k in range(len(LANGUAGES))], 1)
+        c = np.stack([np.bincount(line[(sets >> BITS(k) & BITS(1)).astype(bool)], minlength=n) for k in range(len(LANGUAGES))], 1)
         return np.maximum(0, (c - total[:, None] * self.false) / (1 - self.false)), telling
 
 
@@ -170,7 +176,7 @@ def fill(f: Filters, by_language: list[np.ndarray]) -> set[int]:
         keep.append(g)
         masks.append(sum(1 << k for k, r in enumerate(rate) if r >= SHARE * top and r > 0))
     if keep:
-        f.add(np.array(keep, np.uint64), np.array(masks, np.uint8))
+        f.add(np.array(keep, np.uint64), np.array(masks, BITS))
     return every
 
 
@@ -200,7 +206,8 @@ def train(rows: list[tuple[str, str]], words: Words | None = None) -> Filters:
         ws = sorted(seeds[lang])
         g, _ = grams(words(ws), np.arange(len(ws)), np.zeros(len(ws), bool))
         new = np.array([x not in every for x in g.tolist()])
-        f.add(g[new], np.full(new.sum(), 1 << k, np.uint8))
+        f.add(g[new], np.full(new.sum(), 1 << k, BITS))
+    f.trained = np.array([any(x == k for x, _ in lines) for k in range(len(LANGUAGES))])
     return f.seal()
 
 
@@ -218,6 +225,8 @@ def detect(f: Filters, words: Words, lines: list[str]) -> tuple[list[str | None]
         g, line = grams(words(flat), np.repeat(np.arange(len(lines)), [len(x) for x in plain]), np.zeros(len(flat), bool))
         c2, t2 = f.counts(g, line, len(lines))
         c[none], telling[none] = c2[none], t2[none]
+    n_words = np.array([sum(w[0] != "^" for w in ws) for ws in split], int)
+    other = f.trained[c.argmax(1)] & (n_words >= OTHER_WORDS) & (c.max(1) < OTHER_SHARE * n_words) if len(lines) else none
     if len(lines):  # few words decide: runs of letters of all words but names help
         top = np.sort(c, 1)
         weak = np.flatnonzero(top[:, -1] - top[:, -2] < 2)
@@ -229,7 +238,7 @@ def detect(f: Filters, words: Words, lines: list[str]) -> tuple[list[str | None]
     ordered = np.sort(c, 1)
     lead = (ordered[:, -1] - ordered[:, -2]) / np.maximum(1, ordered[:, -1]) if len(lines) else np.zeros(0)
     confidence = np.round(lead * (1 - np.exp(-telling / 5)), 4)
-    found = [LANGUAGES[b] if c[i, b] > 0 else None for i, b in enumerate(best)]
+    found = [OTHER if other[i] else LANGUAGES[b] if c[i, b] > 0 else None for i, b in enumerate(best)]
     return found, np.where([x is None for x in found], 0.0, confidence) if found else confidence
 
 

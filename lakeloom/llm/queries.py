@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeloom.llm import boilerplate, content, langid, leakage, mixing, neighbors, normalize, split
 from lakeloom.session import materialize
@@ -89,7 +90,7 @@ def _record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = _record_lines(spark, sf_dir).filter("line_lang is not null and (label is null or label <> line_lang)")
+    other = _record_lines(spark, sf_dir).filter(F.col("line_lang").isin(*langid.LANGUAGES) & (F.col("label").isNull() | (F.col("label") != F.col("line_lang"))))
     return other.selectExpr("doc_id", "section_index", "line_no", "line_lang as lang").distinct()
 
 

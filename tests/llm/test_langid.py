@@ -14,9 +14,19 @@ LINES = {
 }
 
 
+MORE = {
+    "da": "Når det bliver sent, får du også noget mere af mig, hvis der blev givet besked, og hvad hjælper det dig eller os, hvor de er efter ferien?\nHvis du bliver syg, skal du give os besked inden din ferie, før det bliver dyrt, og noget mere om det får du af os efter årsskiftet.",
+    "en": "It is not always possible, but you can get help from us if you have questions about it.",
+    "de": "Das ist nicht immer möglich, aber wir können Ihnen helfen, wenn Sie eine Frage haben.",
+    "sv": "Det är inte alltid möjligt, men du kan få hjälp av oss om du har frågor och vill veta mer.",
+    "nb": "Det er ikke alltid mulig, men dere kan få hjelp av oss hvis dere har noe å spørre om etter hvert.\nNår dere har noe å spørre om, må dere gi oss beskjed, og hvis inntekten din blir høyere enn nå, hvordan blir det innen nyttår uten oss?",
+    "uk": "Це не завжди можливо, але ви можете звернутися до нас, якщо у вас є питання про це.",
+}
+
+
 @pytest.fixture(scope="module")
 def filters():
-    return L.train([(x, k) for k, x in LINES.items()] * 3)
+    return L.train([(x + "\n" + MORE[k], k) for k, x in LINES.items()] * 3)
 
 
 @pytest.mark.parametrize("lang", sorted(LINES))
@@ -32,6 +42,11 @@ def test_most_words_decide(filters):
     assert found == ["da", "da", "en"] and (sure > 0).all()
 
 
+@pytest.mark.parametrize("line", ["Les étudiants inscrits doivent informer le service avant la fin du mois prochain.", "Jos tulosi ylittävät rajan, sinun täytyy ilmoittaa siitä meille ennen vuoden loppua.", "Jeśli twój dochód przekracza limit, musisz nas o tym poinformować przed końcem roku."])
+def test_other_languages(filters, line):
+    assert L.detect(filters, L.Words(), [line])[0] == ["other"]
+
+
 def test_filters_hold_what_was_added(filters):
     ws = L.words_of(LINES["da"])
     g, _ = L.grams(L.Words()(ws), np.zeros(len(ws), int), np.zeros(len(ws), bool))
