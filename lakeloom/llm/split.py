@@ -2,13 +2,14 @@
 
 Sentences and lines are the units. At each boundary between units the words of the blocks before and after it are compared
 (cosine of counts); a boundary's depth is how far its similarity lies below the peaks on either side. Each piece ends
-at the deepest valley of its window, the second half of the size limit, a paragraph's end counting somewhat more; without a
-unit boundary there at one in the first half, else at a word's end, else at the limit. The next piece starts
-`overlap` characters earlier, moved forward to the start of a word.
+at the deepest valley of its window, a paragraph's end winning among equals. The window is what the limit leaves beyond the end of
+the piece before, but for its first `LEAST` part, so that pieces advance; without a unit boundary there a piece ends at the last
+one before it, else at a word's end, else at the limit. The next piece starts `overlap` characters earlier, at the nearest start of
+a word not more than a quarter of the overlap away.
 
 Defined results: null and short texts give no pieces; pieces cover the text without gaps; no piece exceeds the limit; an overlap
-of half the limit or more is cut to below half; a null overlap is 0; a limit of null, 0 or less is none; repeated rows give
-their pieces once; lengths count code points. Extra columns are not read.
+of over `MOST_OVERLAP` of the limit is cut to that, and every piece tells the characters it repeats; a null overlap is 0; a limit
+of null, 0 or less is none; repeated rows give their pieces once; lengths count code points. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.session import gather
 
-#: Units in each of the two compared blocks; what a paragraph's end adds to a depth.
-BLOCK, PARAGRAPH_BONUS = 4, 0.25
+#: Units in each of the two compared blocks; what parts of a window and of a limit are left out and repeated at most.
+BLOCK, LEAST, MOST_OVERLAP = 4, 0.25, 0.75
 MAX_CONFIGS = 1_000
 _UNIT_END = re.compile(r"\n\s*|(?<=[.!?…])[\"”»')\]]*\s+(?=\S)")
 _WORD = re.compile(r"[^\W\d_]{3,}")
@@ -86,61 +87,62 @@ def depths(text: str, ends: list[int]) -> list[float]:
     return [up_left[i] + up_right[i] - 2 * sims[i] for i in range(n)]
 
 
-def pieces(text: str, limit: int, overlap: int, marks: tuple[list[int], list[float]] | None = None) -> list[tuple[int, int, str]]:
+def pieces(text: str, limit: int, overlap: int, marks: tuple[list[int], list[tuple[float, bool]]] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind of end) of each piece: unit, word, limit or end."""
     if limit <= 0 or len(text) <= limit:
         return [(0, len(text), "end")]
-    overlap = max(0, min(overlap, (limit - 1) // 2))
+    overlap = max(0, min(overlap, int(limit * MOST_OVERLAP)))
     ends, score = marks or marked(text)
     out, start, last = [], 0, 0
     while len(text) - start > limit:
-        lo, hi = max(last + 1, start + overlap + 1, start + limit // 2), start + limit
-        kind, a, b = "unit", bisect_left(ends, lo), bisect_right(ends, hi)
+        hi = start + limit
+        kind, a, b = "unit", bisect_left(ends, last + 1 + int(LEAST * (hi - last))), bisect_right(ends, hi)
         if a == b:
-            a = bisect_left(ends, max(last, start + overlap) + 1)
-            b = bisect_right(ends, hi)
-            a = max(a, b - 1)  # the last one of the first half
+            a = max(bisect_left(ends, last + 1), b - 1)  # the last one before the window
         if a < b:
             cut = ends[max(range(a, b), key=lambda i: (score[i], ends[i]))]
         else:
-            kind, cut = "word", hi
-            floor = max(last, start + overlap) + 1
+            kind, cut, floor = "word", hi, last + 1
             while cut > floor and not (text[cut - 1].isspace() and not text[cut : cut + 1].isspace()):
                 cut -= 1
             if cut <= floor:
                 kind, cut = "limit", hi
-                while cut > floor and (unicodedata.combining(text[cut]) or text[cut] in "‍️"):
+                while cut > floor and (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0f"):
                     cut -= 1
                 if cut <= floor:
                     cut = hi
         out.append((start, cut, kind))
-        last, start = cut, cut - overlap
-        if overlap:  # from the start of a word, where one begins within the overlap
-            s = start
-            while s < cut and not (text[s - 1].isspace() and not text[s].isspace()):
-                s += 1
-            if s < cut and s - start <= max(40, overlap // 4):
-                start = s
+        last, start = cut, _word_start(text, max(start + 1, cut - overlap), overlap // 4, max(start + 1, cut - limit + 1), cut)
     out.append((start, len(text), "end"))
     return out
 
 
-def marked(text: str) -> tuple[list[int], list[float]]:
+def _word_start(text: str, at: int, reach: int, least: int, end: int) -> int:
+    """The start of a word nearest to `at` within the reach, else `at`."""
+    for d in range(reach + 1):
+        for s in (at - d, at + d):
+            if least <= s < end and text[s - 1].isspace() and not text[s].isspace():
+                return s
+    return at
+
+
+def marked(text: str) -> tuple[list[int], list[tuple[float, bool]]]:
+    """The boundaries of units, and by what one is preferred: depth, then the end of a line."""
     found = unit_ends(text)
     ends = [e for e, _ in found]
-    return ends, [d + PARAGRAPH_BONUS * p for d, (_, p) in zip(depths(text, ends), found, strict=True)]
+    return ends, [(round(d, 9), p) for d, (_, p) in zip(depths(text, ends), found, strict=True)]
 
 
 def split_oversized(df: DataFrame, configs: DataFrame, id_col: str = "sec_id", text_col: str = "content", with_text: bool = True) -> DataFrame:
-    """(id, prompt_version, piece_no, n_pieces, start_char, end_char, cut_at[, content]) of every text over a limit.
+    """(id, prompt_version, piece_no, n_pieces, start_char, end_char, repeats, cut_at[, content]) of every text over a limit.
 
     `configs` has prompt_version, max_chars and overlap_chars; it is small and checked to be. The topic valleys of a text
     are found once for all limits, and only texts over the lowest limit reach Python.
     """
     wanted = configs.select("prompt_version", F.col("max_chars").cast("int"), F.coalesce(F.col("overlap_chars"), F.lit(0)).cast("int").alias("overlap")).filter("max_chars > 0")
     limits = sorted({(str(r[0]), r[1], r[2]) for r in gather(wanted.distinct(), "the configuration table", MAX_CONFIGS)})
-    schema = "sec_id bigint, prompt_version string, piece_no int, n_pieces int, start_char int, end_char int, cut_at string" + (", content string" if with_text else "")
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()] + [pa.string()] * with_text
+    schema = "sec_id bigint, prompt_version string, piece_no int, n_pieces int, start_char int, end_char int, repeats int, cut_at string" + (", content string" if with_text else "")
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()] + [pa.string()] * with_text
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +155,7 @@ def split_oversized(df: DataFrame, configs: DataFrame, id_col: str = "sec_id", t
                     for version, limit, overlap in limits:
                         if len(text) > limit:
                             found = pieces(text, limit, overlap, marks)
-                            out += [(key, version, i, len(found), a, b, kind, *([text[a:b]] * with_text)) for i, (a, b, kind) in enumerate(found)]
+                            out += [(key, version, i, len(found), a, b, found[i - 1][1] - a if i else 0, kind, *([text[a:b]] * with_text)) for i, (a, b, kind) in enumerate(found)]
                 cols = list(zip(*out, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 

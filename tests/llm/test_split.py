@@ -7,15 +7,22 @@ from lakeloom.llm import split as S
 
 def check(text, limit, overlap):
     found = S.pieces(text, limit, overlap)
-    real = max(0, min(overlap, (limit - 1) // 2)) if limit > 0 else 0
+    real = max(0, min(overlap, int(limit * S.MOST_OVERLAP))) if limit > 0 else 0
     assert found[0][0] == 0 and found[-1][1] == len(text)
     for (a, b, _), (c, d, _) in zip(found, found[1:], strict=False):
-        assert a < c <= b < d and b - c <= real
-        assert b - c >= real - max(40, real // 4)
+        assert a < c <= b < d and b - c <= real + real // 4
+        assert b - c >= real - real // 4 or b - a <= real + real // 4  # a piece repeats no more than there is
     assert all(0 < b - a <= max(limit, 1) or limit <= 0 for a, b, _ in found)
     return found
 
 
+def test_overlap_is_as_given():
+    words = " ".join(f"ord{i}" for i in range(400))
+    for limit, overlap in ((300, 200), (300, 20), (1000, 150)):
+        found = check(words, limit, overlap)
+        assert all(abs(b - c - overlap) <= overlap // 4 for (_, b, _), (c, _, _) in zip(found, found[1:], strict=False))
+
+
 @pytest.mark.parametrize("text", ["word " * 900, "x" * 5000, "A b c. " * 700, "line of text\n" * 400, "é" * 2500, "\n" * 3000, "word" * 10 + " " * 3000, "One. " + "y" * 4000 + " two. Three."])
 @pytest.mark.parametrize(("limit", "overlap"), [(1500, 150), (300, 0), (101, 90), (50, 49), (7, 3), (1, 0)])
 def test_cover(text, limit, overlap):
@@ -71,6 +78,8 @@ def test_table(spark):
     assert {(r.sec_id, r.prompt_version) for r in got} == {(1, "v1"), (1, "v2"), (None, "v1")}
     assert len({(r.sec_id, r.prompt_version, r.piece_no) for r in got}) == len(got)
     one = sorted((r for r in got if r.sec_id == 1 and r.prompt_version == "v1"), key=lambda r: r.piece_no)
-    assert "".join(r.content for r in one) == "word " * 100
+    assert "".join(r.content for r in one) == "word " * 100 and {r.repeats for r in one} == {0}
+    two = sorted((r for r in got if r.sec_id == 1 and r.prompt_version == "v2"), key=lambda r: r.piece_no)
+    assert [r.repeats for r in two] == [0, 50] and two[0].content[-50:] == two[1].content[:50]
     assert S.split_oversized(df.limit(0), conf).count() == 0
     assert S.split_oversized(df, conf.limit(0)).count() == 0
