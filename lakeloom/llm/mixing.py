@@ -4,7 +4,8 @@ Documents are grouped by membership pattern, the set of target sources they belo
 link: both count where they differ). Only the token sums of the patterns reach the driver. A min-cost flow routes them to the
 quotas of the sources: the first use of a pattern is free, each further repetition costs more, up to the source's cap. What is
 routed is turned into whole uses of all documents of a pattern, and for the rest into documents in a seeded order up to
-the routed size.
+the routed size; what is still missing there is filled with the document not taken whose size comes nearest, again and again
+until none comes nearer.
 
 The order's prefix is found from sums over hash ranges; only the range with the cut is ordered document by document, so no
 source, however large, is sorted in one task.
@@ -125,16 +126,51 @@ def min_cost_flow(supply: dict[tuple[str, ...], int], quota: dict[str, int], cap
     return {k: sum(cap[e ^ 1] for e in es) for k, es in arcs.items()}
 
 
-def members(docs: DataFrame, targets: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, pattern, n_tokens of the documents of any target source."""
-    both = F.array_sort(F.array_distinct(F.array_compact(F.array(source_name(F.col("source")), link_host(F.col("link"))))))
-    pattern = F.array_intersect(both, F.array(*map(F.lit, targets)).cast("array<string>"))
-    rows = docs.select("doc_id", "text", pattern.alias("pattern")).filter("doc_id is not null and text <> '' and size(pattern) > 0")
-    counted = count_tokens(rows, ["doc_id", "pattern"], tokenizer=tokenizer).filter("n_tokens > 0")
+def members(docs: DataFrame, targets: list[str], tokenizer: str = TOKENIZER, split: str = PATTERN) -> DataFrame:
+    """doc_id, pattern, n_tokens of the documents of any target source. Texts of no target source are not tokenised."""
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(targets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, wanted = _encoding(tokenizer, split), sent.value
+        for b in batches:
+            ids, patterns, n = [], [], []
+            for r, (own, host, text) in enumerate(zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
+                if (p := sorted({own, host} & wanted)) and (k := len(enc.encode_ordinary(text))):
+                    ids.append(r)
+                    patterns.append(p)
+                    n.append(k)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(patterns, pa.list_(pa.string())), pa.array(n, pa.int64())], names=["doc_id", "pattern", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("own"), link_host(F.col("link")).alias("host"), "text")
+    counted = rows.filter("doc_id is not null and text <> '' and (own is not null or host is not null)").mapInArrow(run, "doc_id bigint, pattern array<string>, n_tokens bigint")
     best = counted.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "pattern")).alias("x"))
     return best.select("doc_id", "x.pattern", "x.n_tokens")
 
 
+def filled(use: DataFrame) -> DataFrame:
+    """(pattern, source, doc_id) beyond the prefix that bring each source's size nearer to the routed one.
+
+    `use`, a written table, has pattern, source, doc_id, n_tokens, rest, extra. Each round takes for every pattern and source the
+    document that leaves least; it ends when none leaves less than there is.
+    """
+    spark = use.sparkSession
+    got = use.groupBy("pattern", "source").agg((F.max("rest") - F.sum(F.col("n_tokens") * F.col("extra"))).alias("left"))
+    left = {(tuple(r[0]), r[1]): r[2] for r in gather(got, "the plan") if r[2] > 0}
+    taken: list[tuple[list[str], str, int]] = []
+    kinds = "pattern array<string>, source string, "
+    free = use.filter("extra = 0 and rest > 0").select("pattern", "source", "doc_id", "n_tokens")
+    while left:
+        open_ = F.broadcast(spark.createDataFrame([(list(p), s, r) for (p, s), r in left.items()], kinds + "left bigint"))
+        rows = free.join(open_, ["pattern", "source"]).filter(F.col("n_tokens") < 2 * F.col("left"))
+        if taken:
+            rows = rows.join(F.broadcast(spark.createDataFrame(taken, kinds + "doc_id bigint")), ["pattern", "source", "doc_id"], "left_anti")
+        best = F.min(F.struct(F.abs(F.col("left") - F.col("n_tokens")).alias("off"), "n_tokens", "doc_id")).alias("x")
+        found = gather(rows.groupBy("pattern", "source").agg(best), "the plan")
+        taken += [(r[0], r[1], r[2]["doc_id"]) for r in found]
+        left = {(tuple(r[0]), r[1]): n for r in found if (n := left[tuple(r[0]), r[1]] - r[2]["n_tokens"]) > 0}
+    return spark.createDataFrame(taken, kinds + "doc_id bigint")
+
+
 def mixture(docs: DataFrame, source_targets: DataFrame, total_tokens: int | None = None, exact_shares: bool = False, seed: int = 1, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
@@ -159,8 +195,8 @@ def mixture(docs: DataFrame, source_targets: DataFrame, total_tokens: int | None
             total_tokens = min([total_tokens, *(int(caps[s] * there[s] / share[s]) for s in active if there[s] and caps[s] is not None)])
     quota = {s: round(share[s] * total_tokens) for s in share}
     flow = min_cost_flow(supply, quota, caps)
-    plan = [(list(p), s, f // supply[p], f % supply[p]) for (p, s), f in sorted(flow.items()) if f > 0]
-    needs = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, source string, whole bigint, rest bigint"))  # patterns x sources, counted above
+    plan = [(list(p), s, f // supply[p], f % supply[p], 1 << 30 if caps[s] is None else caps[s]) for (p, s), f in sorted(flow.items()) if f > 0]
+    needs = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, source string, whole bigint, rest bigint, cap bigint"))  # patterns x sources, counted above
     order = F.xxhash64(F.lit(seed), "source", "doc_id")
     use = units.join(needs, "pattern").withColumn("h", order).withColumn("range", F.pmod(F.shiftrightunsigned("h", 40), F.lit(RANGES)))
     ranges = use.filter("rest > 0").groupBy("pattern", "source", "range").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"))
@@ -171,13 +207,13 @@ def mixture(docs: DataFrame, source_targets: DataFrame, total_tokens: int | None
     at_cut = use.filter(F.col("range") == F.col("cut"))
     w = Window.partitionBy("pattern", "source").orderBy("h", "doc_id")
     run = F.sum("n_tokens").over(w) + F.col("before")
-    # the document at the very cut is taken if that comes nearer
-    nearer = (run <= F.col("rest")) | ((run - F.col("rest")) < (F.col("rest") - (run - F.col("n_tokens"))))
-    taken = at_cut.select("pattern", "source", "doc_id", nearer.cast("int").alias("extra_cut"))
+    taken = at_cut.select("pattern", "source", "doc_id", (run <= F.col("rest")).cast("int").alias("extra_cut"))
     use = use.join(taken, ["pattern", "source", "doc_id"], "left")
     extra = F.when(F.col("rest") == 0, 0).when(F.col("range") < F.col("cut"), 1).when(F.col("range") == F.col("cut"), F.coalesce("extra_cut", F.lit(0))).otherwise(0)
-    limit = F.create_map(*[F.lit(x) for s in sorted(share) for x in (s, 1 << 30 if caps[s] is None else caps[s])]) if share else F.create_map(F.lit(""), F.lit(0))
-    uses = F.least(F.col("whole") + extra, limit[F.col("source")]).cast("int")
+    use = materialize(use.withColumn("extra", extra).select("pattern", "source", "doc_id", "n_tokens", "whole", "rest", "cap", "extra"), "use")
+    more = filled(use).withColumn("more", F.lit(1))
+    use = use.join(F.broadcast(more), ["pattern", "source", "doc_id"], "left")  # a few documents for each row of the plan
+    uses = F.least(F.col("whole") + F.col("extra") + F.coalesce("more", F.lit(0)), F.col("cap")).cast("int")
     mix = materialize(use.select("doc_id", "source", uses.alias("uses"), "n_tokens").filter("uses > 0"), "mixture")
     got = {r["source"]: r for r in gather(mix.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("n"), F.max("uses").alias("u"), F.count("*").alias("d")), "the sums of sources")}
     all_ = sum(int(r["n"]) for r in got.values())

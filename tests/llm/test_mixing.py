@@ -42,6 +42,50 @@ def test_mixture(spark):
     assert e["big.example"].actual_share == pytest.approx(0.5 / 0.9, abs=0.12)
 
 
+def best_by_trying(supply, quota, caps):
+    """(tokens routed, least cost) over all whole routings, in units of one token."""
+    import itertools
+
+    arcs = [(p, s) for p in supply for s in p]
+    top = [min(quota[s], supply[p] * (caps[s] if caps[s] is not None else 99)) for p, s in arcs]
+    best = (-1, 0)
+    for flow in itertools.product(*(range(x + 1) for x in top)):
+        got = dict.fromkeys(quota, 0)
+        for (_, s), f in zip(arcs, flow, strict=True):
+            got[s] += f
+        if any(got[s] > quota[s] for s in quota):
+            continue
+        cost = sum(sum(min(supply[p], f - r * supply[p]) * r for r in range(-(-f // supply[p]))) for (p, _), f in zip(arcs, flow, strict=True))
+        best = max(best, (sum(flow), -cost))
+    return best
+
+
+@pytest.mark.parametrize(("supply", "quota", "caps"), [
+    ({("a",): 3, ("a", "b"): 2, ("b",): 1}, {"a": 6, "b": 4}, {"a": 2, "b": 3}),
+    ({("a", "b"): 2, ("b", "c"): 2}, {"a": 3, "b": 4, "c": 3}, {"a": 2, "b": None, "c": 1}),
+    ({("a", "b"): 3, ("a",): 1}, {"a": 5, "b": 5}, {"a": 1, "b": 2}),
+])
+def test_flow_over_shared_patterns_is_optimal(supply, quota, caps):
+    f = M.min_cost_flow(supply, quota, caps)
+    cost = sum(sum(min(supply[p], v - r * supply[p]) * r for r in range(-(-v // supply[p]))) for (p, _), v in f.items())
+    assert (sum(f.values()), -cost) == best_by_trying(supply, quota, caps)
+
+
+def test_shared_documents_and_sizes_that_do_not_fit(spark):
+    """Source and host differ; a document too large for what is missing is passed over for a smaller one."""
+    word = lambda n: "a b c d e f g h".split()[0] + " a" * (n - 1)
+    docs = [(i, "one.example", "https://two.example/x", word(50), 1) for i in range(10)]
+    docs += [(100 + i, "one.example", None, word(n), 1) for i, n in enumerate((400, 400, 30, 7, 5, 3, 2, 1))]
+    docs += [(200 + i, "three.example", None, word(90), 1) for i in range(3)]
+    targets = [("one.example", 0.3, 1), ("two.example", 0.25, 2), ("three.example", 0.05, 1)]
+    mix, report = M.mixture(spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS))
+    rep = {r.source: r for r in report.collect()}
+    assert rep["one.example"].used_tokens == 448  # one text of 400 and all small ones: the second of 400 does not come nearer
+    assert abs(rep["two.example"].used_tokens - rep["two.example"].planned_tokens) <= 26
+    assert rep["three.example"].used_tokens == 90  # nearer to the 80 wanted than none
+    assert {r.source for r in mix.filter("doc_id < 10").collect()} <= {"one.example", "two.example"}
+
+
 def test_prefix_over_ranges(spark):
     """The seeded prefix meets the size although no source is sorted as a whole."""
     docs = spark.createDataFrame([(i, "s", None, "a b c", 1) for i in range(3000)], DOCS)
