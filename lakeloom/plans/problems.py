@@ -11,8 +11,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _shredded(spark: SparkSession, sf_dir: str) -> nested.Shredded:
+    return nested.shredded(_read(spark, sf_dir, "raw_pages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.nested_sections(_read(spark, sf_dir, "raw_pages")).select("raw_id", "section_path").distinct()
+    return nested.section_paths(_shredded(spark, sf_dir))
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a document can be said without its identity."""
+    return nested.nested_documents(_shredded(spark, sf_dir)).select("raw_id", "title", "link", "n_objects", "n_sections")
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.nested_links(_shredded(spark, sf_dir)).select("raw_id", "section_path", "ordinal", "href", "link_text")
+
+
+def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with their parents and texts."""
+    return nested.nested_sections(_shredded(spark, sf_dir)).select("raw_id", "section_path", "parent_path", "key", "ordinal", "heading", "content")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,15 +39,47 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
-    "p3_sections": lambda s, d: nested.nested_sections(_read(s, d, "raw_pages")),
-    "p3_links": lambda s, d: nested.nested_links(_read(s, d, "raw_pages")),
-    "p3_bridge": lambda s, d: nested.nested_bridge(_read(s, d, "raw_pages")),
-    "p3_objects": lambda s, d: nested.nested_objects(_read(s, d, "raw_pages")),
-    "p3_documents": lambda s, d: nested.nested_documents(_read(s, d, "raw_pages")),
+    "p3_counts": p3_counts,
+    "p3_links": p3_links,
+    "p3_places": p3_places,
+    "p3_sections": lambda s, d: nested.nested_sections(_shredded(s, d)),
+    "p3_bridge": lambda s, d: _shredded(s, d).bridge,
+    "p3_objects": lambda s, d: _shredded(s, d).objects,
+    "p3_documents": lambda s, d: nested.nested_documents(_shredded(s, d)),
+    "p3_deliveries": lambda s, d: _shredded(s, d).deliveries,
     "p4_found": p4_found,
 }
 
+# every value of every payload: as a string that holds JSON, an object's fields or an array's elements lead on
+_NODES = r"""with recursive raw as (select distinct raw_id, payload from raw_pages where payload is not null and json_valid(payload)),
+node(raw_id, payload, v, k, o, sec, direct, around) as (
+  select raw_id, payload, payload::json, cast(null as varchar), 0, false, false, cast(null as varchar) from raw
+  union all
+  select raw_id, payload, e.v, e.k, e.o, e.sec, e.direct, e.around from (
+    select raw_id, payload, unnest(case json_type(v)
+      when 'VARCHAR' then case when regexp_matches(v->>'$', '^\s*[{\["]') and json_valid(v->>'$') then [{'v': try_cast(v->>'$' as json), 'k': k, 'o': o, 'sec': sec, 'direct': direct, 'around': around}] else [] end
+      when 'OBJECT' then list_transform(map_entries(try_cast(v as map(varchar, json))), lambda e: {'v': e.value, 'k': e.key, 'o': 0, 'sec': e.key in ('sections', 'children'), 'direct': true, 'around': case when sec then concat_ws('/', around, o) else around end})
+      when 'ARRAY' then list_transform(range(json_array_length(v)::bigint), lambda i: {'v': json_extract(v, '$[' || i || ']'), 'k': k, 'o': i::integer, 'sec': sec and direct, 'direct': false, 'around': around})
+      else [] end) as e from node)),
+opened as (select *, case when sec then concat_ws('/', around, o) else around end as path from node where json_type(v) = 'OBJECT')
+"""
+
+
+def _readable(x: str) -> str:
+    """SQL of the text of a JSON value: of a list its parts, of an object its text."""
+    at = f"json_extract({x}, '$[' || i || ']')"
+    one = f"case json_type({at}) when 'OBJECT' then {at}->>'text' when 'BOOLEAN' then null when 'NULL' then null else {at}->>'$' end"
+    parts = f"nullif(array_to_string(list_filter(list_transform(range(json_array_length({x})::bigint), lambda i: {one}), lambda y: y is not null and y <> ''), chr(10)), '')"
+    return f"case json_type({x}) when 'ARRAY' then {parts} when 'OBJECT' then nullif({x}->>'text', '') when 'BOOLEAN' then null when 'NULL' then null else {x}->>'$' end"
+
+
 ORACLES = {
+    "p3_places": _NODES + f"select raw_id, path as section_path, around as parent_path, k as key, o as ordinal, {_readable("json_extract(v, '$.heading')")} as heading, {_readable("json_extract(v, '$.content')")} as content from opened where sec",
+    "p3_found": _NODES + "select distinct raw_id, path as section_path from opened where sec",
+    "p3_counts": _NODES + """, roots as (select raw_id, payload, count(*) as n_objects, cast(count(*) filter (where sec) as bigint) as n_sections,
+  min(v->>'title') filter (where path is null and k is distinct from 'links') as title, min(v->>'link') filter (where path is null and k is distinct from 'links') as link from opened group by raw_id, payload)
+select raw_id, title, link, n_objects, n_sections from roots""",
+    "p3_links": _NODES + "select raw_id, path as section_path, o as ordinal, v->>'href' as href, v->>'text' as link_text from opened where k = 'links' and path is not null",
     "p4_found": r"""
 with cleaned as (
   select snapshot_date,
