@@ -1,6 +1,6 @@
 """Changes between consecutive full snapshots of a keyed table.
 
-Keys get persistent ordinals. A snapshot is, for each chunk of 32,768 ordinals, a bitmap of the ordinals present and a
+Keys get persistent ordinals, kept in a stored table that is read and extended (`Ordinals`). A snapshot is, for each chunk of 32,768 ordinals, a bitmap of the ordinals present and a
 vector of content fingerprints aligned with its set bits. Consecutive snapshots are then compared chunk by chunk:
 `new AND NOT old` is added, `old AND NOT new` removed, and where both bits are set unequal fingerprints mean changed.
 
@@ -12,33 +12,56 @@ largest fingerprint) holds; rows with a null date are ignored; the first snapsho
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import PLACEHOLDER, canonical_link, sanitize
+from lakeloom.session import _fs, materialize, own_folder, release
 
 CHUNK = 32_768
-#: Keys are spread over so many ranges of ordinals, each filled from its start.
-BUCKETS = 256
+#: New keys that are numbered in one task; ordinals come in ranges, each filled from its start.
+TOGETHER = 200_000
 RANGE = 1 << 40
 
 
-def assign_ordinals(keys: DataFrame, known: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """(key, ordinal) of distinct keys. Ordinals in `known` stay as they are; new keys follow them in their bucket."""
-    keys = keys.select("key").distinct()
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
-    if known is not None:
-        keys = keys.join(known.select("key"), "key", "left_anti")
-    new = keys.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("key")).cast("bigint") - 1)
-    if known is None:
-        return new.select("key", (F.col("bucket") * F.lit(RANGE) + F.col("rank")).alias("ordinal"))
-    used = known.groupBy(F.floor(F.col("ordinal") / F.lit(RANGE)).cast("bigint").alias("bucket")).agg((F.max("ordinal") % F.lit(RANGE) + 1).alias("used"))
-    new = new.join(used, "bucket", "left").select("key", (F.col("bucket") * F.lit(RANGE) + F.col("rank") + F.coalesce("used", F.lit(0))).alias("ordinal"))
-    return known.select("key", "ordinal").unionByName(new)
+class Ordinals:
+    """A stored table (key, ordinal) in a folder that all executors share. Ordinals stay as they are once given."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def table(self) -> DataFrame | None:
+        """What is stored; None before anything is. Parts of a write that did not end are not read."""
+        fs, p = _fs(self.spark, self.path)
+        if not fs.exists(p):
+            return None
+        parts = sorted(str(x.getPath()) for x in fs.listStatus(p) if fs.exists(_fs(self.spark, f"{x.getPath()}/_SUCCESS")[1]))
+        return self.spark.read.schema("key string, ordinal bigint").parquet(*parts) if parts else None
+
+    def extended(self, keys: DataFrame) -> DataFrame:
+        """The table after the keys it lacks have got ordinals behind those of their range."""
+        known = self.table()
+        new = keys.select(F.col("key").cast("string").alias("key")).filter("key is not null").distinct()
+        if known is not None:
+            new = new.join(known.select("key"), "key", "left_anti")
+        new = materialize(new, "new_keys")
+        n = new.count()
+        if n or known is None:
+            ranges = max(16, -(-n // TOGETHER))
+            placed = new.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)))
+            rank = F.row_number().over(Window.partitionBy("range").orderBy("key")).cast("bigint") - 1
+            used = F.lit(0)
+            if known is not None:
+                ends = known.groupBy(F.floor(F.col("ordinal") / F.lit(RANGE)).cast("bigint").alias("range")).agg((F.max("ordinal") % F.lit(RANGE) + 1).alias("used"))
+                placed, used = placed.join(ends, "range", "left"), F.coalesce("used", F.lit(0))
+            placed.select("key", (F.col("range") * F.lit(RANGE) + rank + used).alias("ordinal")).write.parquet(f"{self.path}/part-{uuid.uuid4().hex[:12]}")
+        release(new)
+        return self.table()
 
 
 def pack(bits: bytes) -> bytes:
@@ -87,11 +110,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(dates, pa.date32()), pa.array(all_.astype(np.int64)), pa.array(kinds, pa.string())], names=["day", "ordinal", "change_kind"])
 
 
-def snapshot_changes(df: DataFrame, day: Column, key: Column, fingerprint: Column, version: Column, known: DataFrame | None = None) -> DataFrame:
-    """(snapshot_date, key, change_kind) for each pair of consecutive days. `fingerprint` is a bigint of the content."""
+def snapshot_changes(df: DataFrame, day: Column, key: Column, fingerprint: Column, version: Column, ordinals: Ordinals | None = None) -> DataFrame:
+    """(snapshot_date, key, change_kind) for each pair of consecutive days. `fingerprint` is a bigint of the content.
+
+    Without a stored table of `ordinals` one is made for the run: the first day begins it, the others extend it.
+    """
     rows = df.select(day.cast("date").alias("day"), key.alias("key"), fingerprint.alias("fp"), version.alias("v")).filter("day is not null and key is not null")
-    last = rows.groupBy("day", "key").agg(F.max(F.struct("v", "fp")).getField("fp").alias("fp"))
-    ordinals = assign_ordinals(last, known)
+    last = materialize(rows.groupBy("day", "key").agg(F.max(F.struct("v", "fp")).getField("fp").alias("fp")), "last")
+    if ordinals is None:
+        ordinals = Ordinals(df.sparkSession, own_folder(df.sparkSession, "ordinals"))
+        ordinals.extended(last.join(F.broadcast(last.agg(F.min("day").alias("day"))), "day"))
+    ordinals = ordinals.extended(last)
     days = last.select("day").distinct()
     # one row for each day, hence no partition key
     following = days.withColumn("next_day", F.lead("day").over(Window.orderBy("day")))
@@ -117,9 +146,9 @@ def page_fingerprint(title: Column, sections: Column) -> Column:
     return F.xxhash64(F.lit(7), sanitize(title), F.filter(made, lambda s: s["c"] != ""))
 
 
-def corpus_changes(snapshots: DataFrame) -> DataFrame:
+def corpus_changes(snapshots: DataFrame, ordinals: Ordinals | None = None) -> DataFrame:
     """(snapshot_date, link, change_kind) of the pages of dated crawls."""
     found = snapshot_changes(
-        snapshots, F.col("snapshot_date"), canonical_link(F.col("link")), page_fingerprint(F.col("title"), F.col("sections")), F.col("scraped_at")
+        snapshots, F.col("snapshot_date"), canonical_link(F.col("link")), page_fingerprint(F.col("title"), F.col("sections")), F.col("scraped_at"), ordinals
     )
     return found.select("snapshot_date", F.col("key").alias("link"), "change_kind")

@@ -71,20 +71,26 @@ def drop_own_tables() -> None:
 atexit.register(drop_own_tables)
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when this process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lakeloom-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
+    _own.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: the lineage is cut and a lost executor costs nothing.
 
     `plain` leaves out dictionaries, for columns of hashes. The write's shuffle files go as soon as it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lakeloom-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
+    path = own_folder(spark, name)
     before = spark.conf.get(CLEANUP, None)
     try:
         spark.conf.set(CLEANUP, "true")
         df.write.option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    _own.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._lakeloom_path = path
     return out

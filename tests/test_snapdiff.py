@@ -72,13 +72,27 @@ def test_bitmaps():
     assert not S.unpack(None).any()
 
 
-def test_ordinals_persist(spark):
-    keys = lambda n: spark.createDataFrame([(f"k{i}",) for i in range(n)], "key string")
-    first = S.assign_ordinals(keys(200), buckets=4)
-    old = {r.key: r.ordinal for r in first.collect()}
-    later = {r.key: r.ordinal for r in S.assign_ordinals(keys(300), first, buckets=4).collect()}
-    assert len(later) == len(set(later.values())) == 300
-    assert all(later[k] == v for k, v in old.items())
+def test_ordinals_are_stored_and_stay(spark, tmp_path):
+    keys = lambda n: spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"))
+    table = lambda: {r.key: r.ordinal for r in S.Ordinals(spark, f"file://{tmp_path}/o").table().collect()}
+    assert S.Ordinals(spark, f"file://{tmp_path}/o").table() is None
+    S.Ordinals(spark, f"file://{tmp_path}/o").extended(keys(200))
+    first = table()
+    (tmp_path / "o" / "part-broken").mkdir()  # a write that did not end
+    S.Ordinals(spark, f"file://{tmp_path}/o").extended(keys(300).unionByName(keys(5)))
+    later = table()
+    assert len(later) == 300 == len(set(later.values())) and all(later[k] == o for k, o in first.items())
+    S.Ordinals(spark, f"file://{tmp_path}/o").extended(keys(0))
+    assert table() == later
+
+
+def test_given_ordinals(spark, tmp_path):
+    rows = [(day(d), "1", f"https://x.example/{i}", f"T{i * d}", [("h", "c")], at(d), 1) for d in range(3) for i in range(d, d + 4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    store = S.Ordinals(spark, f"file://{tmp_path}/o")
+    old = {tuple(r) for r in S.corpus_changes(df.filter("snapshot_date < '2025-01-03'"), store).collect()}
+    assert old | {("2025-01-03", f"https://x.example/{i}", k) for i, k in ((1, "removed"), (5, "added"), (2, "changed"), (3, "changed"), (4, "changed"))} == {tuple(r) for r in S.corpus_changes(df, store).collect()}
+
 
 
 def test_empty(spark):
