@@ -6,14 +6,14 @@ opening h1, h2, h3, p or li starts it. Text of nested blocks is given once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Phrases of players and page furniture.
 NOISE_PHRASES = (
@@ -112,25 +112,78 @@ def page_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", cont
     return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, pos int, tag string, text string").filter(~is_noise(F.col("text")))
 
 
-def page_sections(blocks: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, section_index, heading, content): a heading starts a section, the last of several in a row holds; text before
-    the first has a null heading; a heading without text gives nothing."""
-    w = Window.partitionBy(key).orderBy("pos")  # one page
-    head = F.col("tag").isin(*HEADINGS)
-    runs = blocks.withColumn("run", F.sum(head.cast("int")).over(w))
-    body = F.when(~head, F.struct("pos", "text"))
-    found = runs.groupBy(key, "run").agg(F.max(F.when(head, F.col("text"))).alias("heading"), F.array_sort(F.collect_list(body)).alias("parts"))
-    found = found.filter(F.size("parts") > 0)
-    index = F.row_number().over(Window.partitionBy(key).orderBy("run")).cast("bigint") - 1
-    return found.select(key, index.alias("section_index"), "heading", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("content"))
+def sections_of(blocks: list[tuple[str, str]], noise=NOISE_PHRASES) -> list[tuple[str | None, str]]:
+    """(heading, content): a heading starts a section, the last of several in a row holds; text before the first has a null
+    heading; a heading without text gives nothing. Noisy blocks are left out."""
+    out: list[tuple[str | None, str]] = []
+    head, parts = None, []
+    for tag, text in blocks:
+        low = text.lower()
+        if any(p in low for p in noise):
+            continue
+        if tag in HEADINGS:
+            if parts:
+                out.append((head, " ".join(parts)))
+            head, parts = text, []
+        else:
+            parts.append(text)
+    return [*out, (head, " ".join(parts))] if parts else out
+
+
+def page_sections(pages: DataFrame, key: str = "page_id", html: str = "html", container: str | None = "article") -> DataFrame:
+    """(key, section_index, heading, content) of each page, made where the page is parsed: nothing is shuffled."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, index, heads, texts = [], [], [], []
+            for r, page in enumerate(b.column(1).to_pylist()):
+                for i, (head, text) in enumerate(sections_of(blocks_of(page, container)) if page else ()):
+                    at.append(r)
+                    index.append(i)
+                    heads.append(head)
+                    texts.append(text)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(index, pa.int64()), pa.array(heads, pa.string()), pa.array(texts, pa.string())], names=[key, "section_index", "heading", "content"])
+
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, section_index bigint, heading string, content string")
+
+
+_HREF = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
+
+
+def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, href) of every link of each page, entities read."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(r, unescape(next(filter(None, m.groups()), ""))) for r, page in enumerate(b.column(1).to_pylist()) for m in _HREF.finditer(page or "")]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in found], pa.int64())), pa.array([h for _, h in found], pa.string())], names=[key, "href"])
+
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, href string")
+
+
+def page_documents(pages: DataFrame, key: str = "page_id", html: str = "html", container: str | None = "article") -> DataFrame:
+    """(key, title, sections) of each page, a row for every page; the title is that of the page or its first heading."""
+    kind = pages.schema[key].dataType.simpleString()
+    section = pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            titles, sections = [], []
+            for page in b.column(1).to_pylist():
+                m = _TITLE.search(page or "")
+                found = blocks_of(page, container) if page else []
+                first = next((t for tag, t in found if tag in HEADINGS), "(no title)")
+                titles.append(" ".join(unescape(m[1]).split()) if m and m[1].strip() else first)
+                sections.append([{"heading": h, "content": c} for h, c in sections_of(found)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(titles, pa.string()), pa.array(sections, section)], names=[key, "title", "sections"])
+
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, title string, sections array<struct<heading:string,content:string>>")
 
 
 def accepted_pages(pages: DataFrame) -> DataFrame:
     """Pages with a title other than the placeholder and at least one section with content; blank contents are dropped."""
     kept = F.filter("sections", lambda s: F.trim(F.coalesce(s["content"], F.lit(""))) != "")
     return pages.withColumn("sections", kept).filter((F.size("sections") > 0) & F.col("title").isNotNull() & (F.col("title") != "(no title)"))
-
-
-@F.udf(StringType())
-def unescaped(text):
-    return None if text is None else unescape(text)

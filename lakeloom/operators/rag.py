@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
 from lakeloom.operators.language import detected
+from lakeloom.session import materialize
 
+# The placeholder of a missing title and the layout of a context's block.
 UNKNOWN_TITLE = "(ukendt titel)"
+BLOCK = "### {} - {}\nKilde: {}\n{}"
+# End of fixed values.
 
 
 def _or(c: Column, default: Column | str) -> Column:
@@ -32,9 +36,9 @@ def with_sections(hits: DataFrame, meta: DataFrame, sections: DataFrame) -> Data
 
 
 def block(per_section: int = 900) -> Column:
-    return F.concat(
-        F.lit("### "), _or(F.col("title"), UNKNOWN_TITLE), F.lit(" - "), _or(F.col("heading"), T.PLACEHOLDER), F.lit("\nKilde: "), F.coalesce("link", F.lit("")), F.lit("\n"), T.truncate(F.coalesce("content", F.lit("")), per_section)
-    )
+    parts = (_or(F.col("title"), UNKNOWN_TITLE), _or(F.col("heading"), T.PLACEHOLDER), F.coalesce("link", F.lit("")), T.truncate(F.coalesce("content", F.lit("")), per_section))
+    between = [F.lit(x) for x in BLOCK.split("{}")]
+    return F.concat(*(x for pair in zip(between, parts, strict=False) for x in pair))
 
 
 def contexts(rows: DataFrame, per_section: int = 900, total: int = 2500) -> DataFrame:
@@ -57,12 +61,17 @@ def contexts(rows: DataFrame, per_section: int = 900, total: int = 2500) -> Data
     return made.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["block"]), "\n\n").alias("context"), F.count("*").alias("n_blocks"))
 
 
+#: What a prompt has to achieve, by language: answers drawn from the excerpts alone, an admission where they say nothing.
+ASKED = {
+    "da": ("Herunder står uddrag om studiestøtte og derefter et spørgsmål. Svar på spørgsmålet ud fra uddragene, først i én sætning og så med de detaljer, der hører til, og sig, hvilken side eller lov de kommer fra. Siger uddragene det ikke, er svaret: Det fremgår ikke af kilderne.", "UDDRAG", "SPØRGSMÅL"),
+    "en": ("Below are excerpts about student support and then a question. Answer the question from the excerpts, in one sentence first and then with the details that belong to it, and say which page or law they come from. If the excerpts do not say, the answer is: The sources do not tell.", "EXCERPTS", "QUESTION"),
+}
+
+
 def prompt(question: Column, context: Column) -> Column:
-    """In the question's language, Danish unless English is found: role, rules, form, question, context."""
-    danish = "Du svarer på spørgsmål om studiestøtte.\n1. Brug alene konteksten.\n2. Gæt ikke.\n3. Mangler svaret i konteksten, så skriv: Jeg ved det ikke.\n4. Svar på dansk.\n5. Nævn love ved titel, når konteksten gør det.\nForm: et kort svar, dernæst detaljer i punkter.\n\nSpørgsmål: "
-    english = "You answer questions about student grants.\n1. Use the context alone.\n2. Do not guess.\n3. If the context lacks the answer, write: I don't know.\n4. Answer in English.\n5. Name laws by title where the context does.\nForm: a short answer, then details as bullet points.\n\nQuestion: "
-    en = detected(question) == "en"
-    return F.concat(F.when(en, english).otherwise(danish), question, F.when(en, "\n\nContext:\n").otherwise("\n\nKontekst:\n"), F.coalesce(context, F.lit("")))
+    """In the question's language, Danish unless English is found: the task, the context, the question."""
+    made = {k: F.concat(F.lit(f"{task}\n\n{above}\n"), F.coalesce(context, F.lit("")), F.lit(f"\n\n{below}\n"), question) for k, (task, above, below) in ASKED.items()}
+    return F.when(detected(question) == "en", made["en"]).otherwise(made["da"])
 
 
 def answers(questions: DataFrame, contexts_: DataFrame, provider) -> DataFrame:
@@ -71,3 +80,28 @@ def answers(questions: DataFrame, contexts_: DataFrame, provider) -> DataFrame:
 
     rows = questions.join(contexts_, "query_id", "left")
     return rows.select("query_id", "question", answer_column(provider)(prompt(F.col("question"), F.col("context"))).alias("answer"))
+
+
+def score_text(score: float) -> str:
+    return f"{score:.4f}"
+
+
+def answered(asked: DataFrame, vectors_: DataFrame, sections: DataFrame, embedding, chat, k: int = 10, min_score: float = 0.6, per_section: int = 900, total: int = 2500) -> DataFrame:
+    """(query_id, question, answer, sources) for plain question texts: embedded, checked for their length, searched, joined, packed, answered.
+
+    Blank questions are left out. `vectors_` has row_idx, embedding and the questions' metadata, `sections` one row for each
+    (doc_id, section_index). A question without a hit is answered from an empty context.
+    """
+    from lakeloom.operators.vectors import same_length, top_k_batch
+    from lakeloom.providers import answer_column, embed_column
+
+    rows = asked.filter(T.strip(F.coalesce("question", F.lit(""))) != "").withColumn("query_id", F.xxhash64("question")).dropDuplicates(["query_id"])
+    dim = vectors_.agg(F.max(F.size("embedding"))).first()[0] or 0
+    made = materialize(rows.select("query_id", "question", same_length(embed_column(embedding)(F.col("question")), dim).alias("embedding")), "asked")
+    hits = top_k_batch(vectors_, made.select("query_id", "embedding"), "row_idx", "embedding", "query_id", k, min_score=min_score)
+    meta = vectors_.select("row_idx", "doc_id", "section_index", "question", "source", "page_title", "section_heading", F.lit(None).cast("string").alias("aggregated_content"))
+    found = materialize(with_sections(hits, meta, sections), "found")
+    sources = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "heading", "link", "score"))), lambda x: F.struct(x["title"].alias("title"), x["heading"].alias("heading"), x["link"].alias("link"), x["score"].alias("score"))).alias("sources"))
+    out = made.select("query_id", "question").join(contexts(found, per_section, total), "query_id", "left").join(sources, "query_id", "left")
+    answer = answer_column(chat)(prompt(F.col("question"), F.col("context")))
+    return out.select("query_id", "question", answer.alias("answer"), F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType)).alias("sources"))

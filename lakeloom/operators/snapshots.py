@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -49,9 +50,9 @@ def changed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return rows.filter("title_changed or sections_changed")
 
 
-@F.udf(ArrayType(StringType()))
-def _unified(a, b):
-    return list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm=""))
+@F.pandas_udf(ArrayType(StringType()))
+def _unified(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="")) for a, b in zip(old, new, strict=True)], dtype=object)
 
 
 def diffs(old: DataFrame, new: DataFrame, key: str, most_lines: int = 30) -> DataFrame:

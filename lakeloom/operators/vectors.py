@@ -12,13 +12,8 @@ from pyspark.sql import functions as F
 from lakeloom.functions import vectors as V
 from lakeloom.session import gather
 
-#: Queries sent to every executor at once.
-QUERY_BLOCK = 2_000
-
-
-def same_length(vec: Column, dim: int) -> Column:
-    """The vector; an error in the task if its length is another."""
-    return F.when(F.size(vec) == dim, vec).otherwise(F.raise_error(F.format_string("a vector has %d values, not " + str(dim), F.size(vec))).cast("array<float>"))
+#: Queries sent to every executor at once, and multiplied with a batch at once.
+QUERY_BLOCK, STEP = 20_000, 500
 
 
 def top_k(df: DataFrame, id_col: str, vec_col: str, query: list[float], k: int = 10, min_score: float | None = None) -> DataFrame:
@@ -32,17 +27,20 @@ def top_k(df: DataFrame, id_col: str, vec_col: str, query: list[float], k: int =
     return rows.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k_batch(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, query_id: str, k: int = 10, metric: str = "dot", min_score: float | None = None, min_rows: int = 1) -> DataFrame:
+def top_k_batch(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, query_id: str, k: int = 10, metric: str = "dot", min_score: float | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the k best rows for each query, ties by id; exact.
 
-    `metric` is dot, cosine or l2 (least squared distance first). Queries, checked in number, go out in blocks; each Arrow
-    batch of rows is multiplied with a block at once and keeps k rows for each query, so that few rows are shuffled.
+    `metric` is dot, cosine or l2 (least squared distance first). Queries of any number go out in blocks by hash, one scan of the
+    rows for each block; every Arrow batch of rows is multiplied with the block and keeps the rows for each query that may be
+    among its k best, ties included, so that few rows are shuffled.
     """
-    wanted = gather(queries.select(F.col(query_id).cast("bigint"), F.col(vec_col).cast("array<double>")).filter(F.col(vec_col).isNotNull()), "the query table")
+    asked = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")
+    n = asked.count()
+    blocks = -(-n * 5 // (QUERY_BLOCK * 4))
     spark = df.sparkSession
     out = None
-    for at in range(0, max(1, len(wanted)), QUERY_BLOCK):
-        part = wanted[at : at + QUERY_BLOCK]
+    for block in range(max(1, blocks)):
+        part = gather(asked.filter(F.pmod(F.xxhash64(F.lit(3), "q"), F.lit(blocks)) == block) if blocks > 1 else asked, "a block of queries", 2 * QUERY_BLOCK)
         sent = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -52,17 +50,19 @@ def top_k_batch(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, qu
                     continue
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
                 rows = b.column(0).to_numpy(zero_copy_only=False)
-                s = q @ x.T
-                if metric == "cosine":
-                    s /= np.maximum(1e-300, np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
-                elif metric == "l2":
-                    s = -np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * s)
-                order = np.lexsort((np.broadcast_to(rows, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-                i = np.repeat(np.arange(len(ids)), order.shape[1])
-                j = order.ravel()
-                v = s[i, j]
-                keep = v >= (-np.inf if min_score is None else min_score)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(rows[j][keep]), pa.array(v[keep])], names=[query_id, id_col, "score"])
+                for at in range(0, len(ids), STEP):
+                    some = q[at : at + STEP]
+                    s = some @ x.T
+                    if metric == "cosine":
+                        s /= np.maximum(1e-300, np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+                    elif metric == "l2":
+                        s = -np.maximum(0, (some * some).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * s)
+                    least = np.partition(s, s.shape[1] - k, 1)[:, s.shape[1] - k, None] if k < s.shape[1] else np.full((len(s), 1), -np.inf)
+                    hit = s >= least - 1e-11
+                    if min_score is not None:
+                        hit &= s >= min_score
+                    i, j = np.nonzero(hit)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(rows[j]), pa.array(s[i, j])], names=[query_id, id_col, "score"])
 
         dim = len(part[0][1]) if part else 1
         rows = df.filter(F.size(vec_col) == dim).select(F.col(id_col).cast("bigint"), F.col(vec_col).cast("array<double>"))

@@ -9,6 +9,7 @@ from lakeloom import providers
 from lakeloom.functions import text as T
 from lakeloom.functions import vectors as V
 from lakeloom.operators import corpus, fulltext, language, links, pages, questions, rag, snapshots, telemetry, vectors
+from lakeloom.session import materialize
 from lakeloom.streaming import snapshots as streams
 
 QUERIES: dict = {}
@@ -186,7 +187,7 @@ select page_id, row_number() over (partition by page_id order by run) - 1 as sec
   from (select *, sum(case when tag <> 'p' then 1 else 0 end) over (partition by page_id order by pos) as run from {_BLOCKS} where {_QUIET})
   group by page_id, run) where content is not null""")
 def page_sections(spark, sf_dir):
-    return pages.page_sections(pages.page_blocks(_html(spark, sf_dir)))
+    return pages.page_sections(_html(spark, sf_dir))
 
 
 @_query("select sec_id, " + " or ".join(f"contains(lower(content), '{p}')" for p in pages.NOISE_PHRASES) + " as noise from section_lookup where content is not null")
@@ -256,7 +257,16 @@ def q_quality(spark, sf_dir):
     return _read(spark, sf_dir, "hqe_records").select("doc_id", "section_index", "generated_at", F.array_join(questions.quality(F.col("questions")), "|").alias("kept"))
 
 
-@_query()
+def _jaccard(a: str, b: str) -> str:
+    return f"case when len({a}) = 0 and len({b}) = 0 then 1.0 else len(list_intersect({a}, {b})) / greatest(1, len(list_distinct({a} || {b}))) end"
+
+
+_ALIKE = _jaccard(f"list_distinct({_tokens('k')})", f"list_distinct({_tokens('x[1]')})")
+
+
+@_query(f"""select doc_id, section_index, generated_at, cast(len(c) as integer) as n, cast(len(kept) as integer) as n_kept, array_to_string(kept, '|') as kept from (
+  select *, case when len(c) = 0 then [] else list_reduce(list_transform(c, lambda q: [q]), lambda kept, x: case when len(list_filter(kept, lambda k: {_ALIKE} >= 0.8)) = 0 then kept || x else kept end) end as kept
+  from (select *, list_filter(coalesce(questions, []), lambda q: q is not null) as c from hqe_records))""")
 def q_dedup(spark, sf_dir):
     clean = F.filter(F.coalesce("questions", F.array().cast("array<string>")), lambda q: q.isNotNull())
     kept = questions.distinct_enough(clean, 0.8)
@@ -289,8 +299,8 @@ def lang_detect(spark, sf_dir):
 
 @_query()
 def hqe_records(spark, sf_dir):
-    made = providers.hqe_records(corpus.lookup(_read(spark, sf_dir, "section_lookup")))
-    return made.withColumn("questions", F.array_join("questions", "|"))
+    made = providers.hqe_records(corpus.lookup(_read(spark, sf_dir, "section_lookup")), generated_at="2026-01-01T00:00:00Z")
+    return made.select("doc_id", "section_index", "language", "gen_model", "prompt_version", "generated_at", F.array_join("questions", "|").alias("questions"), F.col("meta.source").alias("source"), F.array_join("meta.combined_headings", "|").alias("combined_headings"), F.col("meta.section_char_len").alias("section_char_len"))
 
 
 _KEY = "coalesce(doc_id, '') || '::' || section_index || '::' || (i - 1)"
@@ -383,7 +393,12 @@ def _hits(spark, sf_dir) -> DataFrame:
 
 def _joined(spark, sf_dir) -> DataFrame:
     meta = corpus.last_wins(_read(spark, sf_dir, "question_meta"), ["row_idx"], [F.col("question")])
-    return rag.with_sections(_hits(spark, sf_dir), meta, corpus.lookup(_read(spark, sf_dir, "section_lookup")))
+    hits = materialize(_hits(spark, sf_dir), "hits")
+    wanted = meta.join(hits.select("row_idx").distinct(), "row_idx", "left_semi")
+    wanted = materialize(wanted, "wanted")
+    # only sections that a hit refers to are looked up
+    sections = _read(spark, sf_dir, "section_lookup").join(wanted.select("doc_id", "section_index").distinct(), ["doc_id", "section_index"], "left_semi")
+    return rag.with_sections(hits, wanted, corpus.lookup(sections))
 
 
 @_query(f"select query_id, row_idx, round(score, 6) as score, rank from {_HITS}")
@@ -413,7 +428,13 @@ def rag_context(spark, sf_dir):
     return rag.contexts(_joined(spark, sf_dir))
 
 
-@_query()
+def _asked(k: str) -> str:
+    task, above, below = (x.replace("'", "''") for x in rag.ASKED[k])
+    return f"'{task}' || chr(10) || chr(10) || '{above}' || chr(10) || context || chr(10) || chr(10) || '{below}' || chr(10) || question"
+
+
+@_query(f"""select query_id, case when {_EN} > {_DA} then {_asked('en')} else {_asked('da')} end as prompt
+from (select query_id, context, question, {_tokens('question')} as t from (select c.query_id, c.context, coalesce(m.question, '') as question from {_CONTEXT} c join {_META} m on m.row_idx = c.query_id))""")
 def rag_prompt(spark, sf_dir):
     meta = corpus.last_wins(_read(spark, sf_dir, "question_meta"), ["row_idx"], [F.col("question")])
     rows = rag.contexts(_joined(spark, sf_dir)).join(meta.select(F.col("row_idx").alias("query_id"), "question"), "query_id")
@@ -447,7 +468,8 @@ select doc_id, round(sum(w), 6) as score from (
   select doc_id, term, case when field = 'title' then 2.0 else 1.0 end * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len)) as w
   from tf join df using (term) join sizes using (field)) group by doc_id having count(distinct term) = 2 order by round(sum(w), 6) desc, doc_id limit 10""")
 def fts_search(spark, sf_dir):
-    return fulltext.search(_read(spark, sf_dir, "documents"), "doc_id", ["title", "text"], "spørgsmål handicaptillæg?", 10, weights={"title": 2.0})
+    index = fulltext.Index(_read(spark, sf_dir, "documents"), "doc_id", ["title", "text"])
+    return index.search("Spørgsmål, handicaptillæg?", 10, weights={"title": 2.0})
 
 
 # ---- snapshots
@@ -539,11 +561,11 @@ def telemetry_progress(spark, sf_dir):
 @_query("select distinct user_id from events")
 def stream_first_seen(spark, sf_dir):
     events = streams.read_parquet(spark, f"{sf_dir}/events.parquet", "ts")
-    return streams.run_once(streams.first_seen(events.select("user_id", "ts"), "user_id", "ts", "36500 days").select("user_id"))
+    return streams.new_keys(events.select("user_id"), "user_id").select("user_id")
 
 
 @_query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
 def stream_tumbling(spark, sf_dir):
     events = streams.read_parquet(spark, f"{sf_dir}/events.parquet", "ts")
-    made = streams.run_once(streams.tumbling(events, "ts", "event_type", "value"), "complete")
+    made = streams.latest_of_updates(streams.tumbling(events, "ts", "event_type", "value"), ["window_start", "event_type"])
     return made.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

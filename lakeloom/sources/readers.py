@@ -43,7 +43,10 @@ def hqe_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def question_meta(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.QUESTION_META).option("multiLine", True).json(path)
+    """Rows of a JSON array in one file, numbered by position where they have no number."""
+    rows = spark.read.schema(schemas.QUESTION_META).option("multiLine", True).json(path)
+    place = F.monotonically_increasing_id()  # the array is one partition, so these are positions
+    return rows.coalesce(1).withColumn("row_idx", F.coalesce("row_idx", place))
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:

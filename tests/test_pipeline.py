@@ -14,7 +14,7 @@ HTML = """<html><head><title>x</title><script>var a="</p>";</script></head><body
 
 def test_sections(spark):
     df = spark.createDataFrame([(1, HTML), (2, None), (3, "")], "page_id bigint, html string")
-    got = [(r.section_index, r.heading, r.content) for r in pages.page_sections(pages.page_blocks(df)).orderBy("section_index").collect()]
+    got = [(r.section_index, r.heading, r.content) for r in pages.page_sections(df).orderBy("section_index").collect()]
     assert got == [(0, None, "before"), (1, "Two", "a & b c d"), (2, "Last", "e")]
 
 
