@@ -23,14 +23,14 @@ class Index:
 
     def __init__(self, df: DataFrame, key: str, fields: list[str]):
         self.key, self.fields = key, fields
-        self.postings = materialize(postings(df, key, fields).repartition("term").sortWithinPartitions("term"), "postings")
+        self.postings = materialize(postings(df, key, fields).sortWithinPartitions("term"), "postings")
         named = F.array(*(F.struct(F.lit(f).alias("field"), F.size(T.tokens(F.col(f))).alias("len")) for f in fields))
         self.lengths = materialize(df.select(key, F.explode(named).alias("x")).select(key, "x.field", "x.len"), "lengths")
 
     def search(self, query: str, k: int = 10, every: bool = True, weights: dict[str, float] | None = None) -> DataFrame:
         """(key, score) of the k best rows for the query's terms, all of them (`every`) or any; ties by key.
 
-        The query is cut into terms as texts are. Only postings of its terms are read (the table is sorted by term).
+        The query is cut into terms as texts are. Only postings of its terms are read (each part of the table is sorted by term).
         """
         spark, key = self.postings.sparkSession, self.key
         terms = sorted(set(spark.range(1).select(T.tokens(F.lit(query)).alias("t")).first()[0]))

@@ -20,5 +20,5 @@ def votes(text: Column, words: list[str]) -> Column:
 
 def detected(text: Column, default: str = "da") -> Column:
     """`da` or `en`, whichever has more function words; the default for a tie, a blank or a null text."""
-    da, en = votes(text, DANISH), votes(text, ENGLISH)
-    return F.when(da > en, "da").when(en > da, "en").otherwise(default)
+    lead = F.array(votes(text, DANISH) - votes(text, ENGLISH))  # bound by a lambda, so that it is worked out once
+    return F.get(F.transform(lead, lambda d: F.when(d > 0, "da").when(d < 0, "en").otherwise(default)), F.lit(0))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from lakeloom.functions import text as T
+from lakeloom.session import materialize
 
 
 class EmbeddingProvider(Protocol):
@@ -120,15 +121,15 @@ def fallback_question(language: Column) -> Column:
 
 def with_documents(sections: DataFrame) -> DataFrame:
     """Latest sections, and for every document without a row at -1 one made of them: its text, and its headings combined."""
-    rows = sections.select("doc_id", "section_index", "title", "link", "heading", "content", "combined_headings")
-    parts = rows.filter("section_index >= 0")
+    rows = materialize(sections.select("doc_id", "section_index", "title", "link", "heading", "content", "combined_headings"), "latest")
+    parts, there = rows.filter("section_index >= 0"), rows.filter("section_index < 0")
     each = F.array_sort(F.collect_list(F.struct("section_index", "heading", "content")))
-    whole = parts.groupBy("doc_id").agg(each.alias("s"), F.min_by("title", "section_index").alias("title"), F.min_by("link", "section_index").alias("link"))
+    lacking = parts.join(there.select("doc_id"), "doc_id", "left_anti")
+    whole = lacking.groupBy("doc_id").agg(each.alias("s"), F.min_by("title", "section_index").alias("title"), F.min_by("link", "section_index").alias("link"))
     heads = F.transform("s", lambda x: T.heading(x["heading"]))
     text = T.strip(F.array_join(F.transform("s", lambda x: F.concat(T.heading(x["heading"]), F.lit("\n"), F.coalesce(x["content"], F.lit("")))), "\n\n"))
     made = whole.select("doc_id", F.lit(-1).alias("section_index"), "title", "link", F.lit(None).cast("string").alias("heading"), text.alias("content"), heads.alias("combined_headings"))
-    there = rows.filter("section_index < 0")
-    return parts.unionByName(there).unionByName(made.join(there.select("doc_id"), "doc_id", "left_anti"))
+    return rows.unionByName(made)
 
 
 def hqe_records(sections: DataFrame, budget: tuple[int, int, int] = (3, 5, 8), duplicate_at: float = 0.8, generator=None, prompt_version: str = "v1", generated_at: str | None = None) -> DataFrame:
@@ -140,12 +141,13 @@ def hqe_records(sections: DataFrame, budget: tuple[int, int, int] = (3, 5, 8), d
     from lakeloom.operators.questions import distinct_enough, quality
 
     generator = generator or Templates()
-    every = with_documents(sections)
+    every = materialize(with_documents(sections), "sections")
     languages = every.filter("section_index < 0").select("doc_id", detected(F.col("content")).alias("language"))
     n = T.question_budget(F.length(F.coalesce("content", F.lit(""))), *budget)
     rows = every.filter(T.strip(F.coalesce("content", F.lit(""))) != "").join(languages, "doc_id", "left").withColumn("language", F.coalesce("language", F.lit("da")))
     raw = generator.ask(F.col("heading"), F.col("title"), F.col("content"), F.col("language"), n)
-    kept = distinct_enough(quality(raw), duplicate_at)
+    rows = rows.withColumn("kept", distinct_enough(quality(raw), duplicate_at))  # once, though it is read twice below
+    kept = F.col("kept")
     at = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return rows.select(
         "doc_id", "section_index", "language", F.lit(generator.name).alias("gen_model"), F.lit(prompt_version).alias("prompt_version"), at.alias("generated_at"),
