@@ -22,7 +22,7 @@ def p2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.close_pairs(p2_neighbors(spark, sf_dir))
+    return neighbors.close_pairs(neighbors.nearest(_read(spark, sf_dir, "question_vectors"), "row_idx", "embedding", least=0.9), 0.9)
 
 
 def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
